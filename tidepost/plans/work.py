@@ -69,10 +69,9 @@ def match_posts(
     )
     by_day = (
         items.where(F.col("chunk_start").cast("date") < F.col("chunk_end").cast("date"))
-        .select(
-            F.explode(days).alias("__day"),
-            F.struct("work_idx", "variation_idx", "chunk_idx", words.alias("words")).alias("item"),
-        )
+        .withColumns({"words": words, "__days": days})
+        .withColumn("item", F.struct("work_idx", "variation_idx", "chunk_idx", "words"))
+        .select(F.explode("__days").alias("__day"), "item")
         .groupBy("__day")
         .agg(F.collect_list("item").alias("__items"))
         .withColumn("__words", F.array_distinct(F.flatten(F.transform("__items", lambda i: i["words"]))))
