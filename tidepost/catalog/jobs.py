@@ -1 +1,77 @@
-"""Queries registered below."""
+"""The two job kinds end to end, over the posts and the saved pages."""
+
+from __future__ import annotations
+
+from tidepost.catalog.posts import KEYWORDS, sql_expand
+from tidepost.catalog.registry import POSTS, posts, register, sql_latin, sql_long_enough
+from tidepost.catalog.state import SEARCH_ORDERED, _search_rows
+from tidepost.catalog.work import ADAPTIVE, sql_chunks
+from tidepost.plans import jobs
+
+START, END = "2024-01-01", "2024-09-15"
+
+
+@register(
+    "standard_job",
+    f"""WITH {POSTS}, {SEARCH_ORDERED},
+    found AS (SELECT * FROM posts WHERE NOT is_reply AND ts >= DATE '{START}' AND ts < DATE '{END}'
+      AND (contains(lower(text), 'korupsi') OR contains(lower(text), 'bagus'))),
+    firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT *, date_diff('day', DATE '{START}', CAST(ts AS DATE)) // 7 AS chunk_idx FROM firsts
+      WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')} AND {sql_long_enough('text')}),
+    capped AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY chunk_idx ORDER BY post_id) <= 5000 // 37),
+    uniq AS (SELECT * FROM capped WHERE coalesce(url, '') <> ''
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY post_id) = 1),
+    filled AS (SELECT 0 AS s, post_id, url, text FROM uniq UNION ALL SELECT 1, post_id, url, text FROM search)
+    SELECT post_id, url, text FROM filled ORDER BY s, post_id LIMIT 5000""",
+)
+def standard_job(spark, folder):
+    found = jobs.standard_job(
+        posts(spark, folder),
+        ["korupsi", "bagus"],
+        START,
+        END,
+        5000,
+        top_up=[_search_rows(spark, folder)],
+    )
+    return found.select("post_id", "url", "text")
+
+
+@register(
+    "expand_job",
+    f"""WITH {POSTS}, {SEARCH_ORDERED}, source_posts AS (SELECT * FROM posts WHERE NOT is_reply AND lang = 'en'),
+    {sql_expand("source_posts", KEYWORDS)},
+    chunk AS (SELECT i AS chunk_idx, n, s + CAST(i * d AS INTEGER) AS chunk_start,
+        least(s + CAST((i + 1) * d AS INTEGER), e) AS chunk_end
+      FROM (SELECT s, e, {ADAPTIVE} AS d, unnest({sql_chunks('s', 'e', ADAPTIVE)}) AS i,
+            len({sql_chunks('s', 'e', ADAPTIVE)}) AS n FROM (SELECT DATE '{START}' AS s, DATE '{END}' AS e))),
+    items AS (SELECT variation_idx * n + chunk_idx AS work_idx, variation_idx, chunk_start, chunk_end FROM expanded, chunk),
+    words AS (SELECT variation_idx, [lower(w) FOR w IN string_split(variation, ' ')
+        IF length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$')] AS words FROM expanded),
+    hits AS (SELECT post_id, variation_idx FROM source_posts, words
+        WHERE len(words) = 0 OR len([w FOR w IN words IF contains(lower(text), w)]) > 0),
+    matches AS (SELECT p.*, i.work_idx FROM source_posts p JOIN hits h USING (post_id)
+        JOIN items i ON i.variation_idx = h.variation_idx AND p.ts >= i.chunk_start AND p.ts < i.chunk_end),
+    sessions AS (SELECT * FROM matches
+        QUALIFY row_number() OVER (PARTITION BY work_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM sessions WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')}
+        AND {sql_long_enough('text')} AND coalesce(url, '') <> ''),
+    firsts AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY url ORDER BY work_idx, post_id) = 1),
+    both_ AS (SELECT 0 AS s, work_idx, post_id, url FROM firsts UNION ALL SELECT 1, NULL, post_id, url FROM search),
+    uniq AS (SELECT * FROM both_ WHERE coalesce(url, '') <> ''
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, work_idx NULLS FIRST, post_id) = 1)
+    SELECT CAST(work_idx AS BIGINT) AS work_idx, post_id, url FROM uniq
+    ORDER BY s, work_idx NULLS FIRST, post_id LIMIT 3000""",
+)
+def expand_job(spark, folder):
+    found = jobs.expand_job(
+        posts(spark, folder),
+        KEYWORDS,
+        START,
+        END,
+        asof=END,
+        count=3000,
+        lang="en",
+        top_up=[_search_rows(spark, folder)],
+    )
+    return found.selectExpr("CAST(work_idx AS BIGINT) AS work_idx", "post_id", "url")

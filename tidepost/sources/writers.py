@@ -30,7 +30,15 @@ def write_csv(
 ) -> None:
     """Headed CSV of the given columns, all in table order if not given."""
     chosen = rows.select(*columns) if columns else rows
-    csv_ready(chosen).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (
+        csv_ready(chosen)
+        .write.mode(mode)
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_csv_sorted(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -54,37 +54,39 @@ def rolling_rate(
     )
 
 
-def stall_gaps(
+def loop_counts(
     rows: DataFrame, job: str, ts: str, loop_seconds: int = 60, delay: str = "0 seconds"
 ) -> DataFrame:
-    """``job, loop, new_rows, stalled``: loops that passed without a row before this one.
-
-    Rows are first counted per job and loop, so the stateful step sees one row
-    per loop however busy a job is.
-    """
-    width = f"{loop_seconds} seconds"
-    loops = (
+    """``job, loop, new_rows`` of every finished loop that brought a row."""
+    return (
         rows.withWatermark(ts, delay)
-        .groupBy(F.col(job).alias("job"), F.window(ts, width).alias("w"))
+        .groupBy(F.col(job).alias("job"), F.window(ts, f"{loop_seconds} seconds").alias("w"))
         .agg(F.count("*").alias("new_rows"))
-        .select("job", "w.start", "new_rows", F.window_time("w").alias("at"))
+        .select("job", F.unix_seconds("w.start").alias("loop"), "new_rows")
     )
-    job_type = rows.schema[job].dataType.simpleString()
+
+
+def stall_gaps(loops: DataFrame, loop_seconds: int = 60) -> DataFrame:
+    """Add ``stalled``: loops that passed without a row before this one.
+
+    Reads the landed output of :func:`loop_counts` as a second stream, so the
+    stateful step sees one row per loop however busy a job is.
+    """
+    job_type = loops.schema["job"].dataType.simpleString()
 
     def gaps(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        frame = pd.concat(list(batches)).sort_values("start")
-        seconds = frame["start"].astype("int64") // _unit(frame["start"])
-        previous = seconds.shift(1)
+        frame = pd.concat(list(batches)).sort_values("loop")
+        previous = frame["loop"].shift(1)
         if last is not None:
             previous.iloc[0] = last
-        stalled = ((seconds - previous) // loop_seconds - 1).fillna(0).astype("int64")
-        state.update((int(seconds.iloc[-1]),))
-        yield pd.DataFrame(
-            {"job": key[0], "loop": seconds, "new_rows": frame["new_rows"], "stalled": stalled}
-        )
+        stalled = ((frame["loop"] - previous) // loop_seconds - 1).fillna(0).astype("int64")
+        state.update((int(frame["loop"].iloc[-1]),))
+        yield frame[["loop", "new_rows"]].assign(job=key[0], stalled=stalled)[
+            ["job", "loop", "new_rows", "stalled"]
+        ]
 
     return loops.groupBy("job").applyInPandasWithState(
         gaps,
@@ -94,7 +96,3 @@ def stall_gaps(
         GroupStateTimeout.NoTimeout,
     )
 
-
-def _unit(times: pd.Series) -> int:
-    """Ticks per second of a pandas time column."""
-    return {"s": 1, "ms": 10**3, "us": 10**6, "ns": 10**9}[times.dt.unit]
