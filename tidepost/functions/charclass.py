@@ -17,4 +17,14 @@ MENTION_RE = f"@[{WORD}]+"
 HASHTAG_RE = f"#[{WORD}]+"
 WORD_RE = f"[{WORD}]+"
 SPACES_RE = f"[{SPACE}]+"
-EDGE_SPACES_RE = f"^[{SPACE}]+|[{SPACE}]+$"
+
+# The characters of SPACE one by one, for functions that take a set of characters.
+SPACE_CHARACTERS = "".join(
+    map(
+        chr,
+        [
+            *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+            *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+        ],
+    )
+)

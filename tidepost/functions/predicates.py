@@ -12,8 +12,10 @@ from tidepost.functions.fixed_values import BLOCKED_ACCOUNTS, CONTEXT_STOPWORDS
 from tidepost.functions.text import remove_mentions, remove_urls, strip
 
 # Code-point blocks counted as non-Latin by the older script filter.
+# Digits of the last block are left out: they count as digits before.
 OTHER_SCRIPTS = (
-    r"\x{ac00}-\x{d7af}\x{1100}-\x{11ff}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{600}-\x{6ff}"
+    r"\x{ac00}-\x{d7af}\x{1100}-\x{11ff}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}"
+    r"\x{600}-\x{65f}\x{66a}-\x{6ef}\x{6fa}-\x{6ff}"
 )
 
 
@@ -21,8 +23,13 @@ def _known(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def _left_after_removing(text: Column, body: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[{body}]+", ""))
+def _beyond_latin(text: Column) -> Column:
+    """Characters past the Latin blocks; usually few, so later passes are short."""
+    return F.regexp_replace(text, f"[{LATIN}]+", "")
+
+
+def _without(text: Column, body: str) -> Column:
+    return F.regexp_replace(text, f"[{body}]+", "")
 
 
 def account_allowed(username: Column, blocked: Sequence[str] = BLOCKED_ACCOUNTS) -> Column:
@@ -32,21 +39,21 @@ def account_allowed(username: Column, blocked: Sequence[str] = BLOCKED_ACCOUNTS)
 def mostly_latin(text: Column, threshold: float = 0.8) -> Column:
     """Share of Latin, blank and digit characters above ``threshold``; empty fails."""
     size = F.length(text)
-    foreign = _left_after_removing(text, LATIN + SPACE + DIGIT)
+    foreign = F.length(_without(_beyond_latin(text), SPACE + DIGIT))
     return _known((size > 0) & ((size - foreign) / F.nullif(size, F.lit(0)) > threshold))
 
 
 def few_foreign_letters(text: Column, threshold: float = 0.2) -> Column:
     """Share of listed non-Latin scripts below ``threshold``; other scripts don't count."""
-    size = F.length(text)
-    latin = size - _left_after_removing(text, LATIN + SPACE + DIGIT)
-    # Arabic-Indic digits lie in a listed block but already count as digits
-    foreign = size - F.length(
-        F.regexp_replace(text, f"[{OTHER_SCRIPTS}&&[^{SPACE}{DIGIT}]]+", "")
-    )
-    counted = latin + foreign
-    share = foreign / F.nullif(counted, F.lit(0))
-    return _known((size > 0) & ((counted == 0) | (share < threshold)))
+
+    def judge(beyond: Column) -> Column:
+        latin = F.length(text) - F.length(_without(beyond, SPACE + DIGIT))
+        foreign = F.length(beyond) - F.length(_without(beyond, OTHER_SCRIPTS))
+        counted = latin + foreign
+        share = foreign / F.nullif(counted, F.lit(0))
+        return (counted == 0) | (share < threshold)
+
+    return _known((F.length(text) > 0) & F.exists(F.array(_beyond_latin(text)), judge))
 
 
 def long_enough(text: Column, minimum: int = 15) -> Column:
@@ -65,7 +72,7 @@ def enough_letters(text: Column, minimum: int = 15, share: float = 0.4, newlines
     def judge(body: Column) -> Column:
         size = F.length(body)
         letters = size - F.length(F.regexp_replace(body, r"\p{L}+", ""))
-        breaks = F.length(F.regexp_replace(body, "[^\n]+", ""))
+        breaks = size - F.length(F.replace(body, F.lit("\n"), F.lit("")))
         return (
             (size >= minimum)
             & (breaks <= newlines)

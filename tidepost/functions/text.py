@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 
 from tidepost.functions.charclass import (
     DIGIT,
-    EDGE_SPACES_RE,
     HASHTAG_RE,
     MENTION_RE,
     SPACE,
+    SPACE_CHARACTERS,
     SPACES_RE,
     URL_RE,
     WORD,
@@ -57,7 +57,10 @@ STYLED_CHARACTERS = BOLD_LETTERS + (
 def fold_fonts(text: Column, extended: bool = False) -> Column:
     """Mathematical-bold letters become ASCII; ``extended`` adds the other styles."""
     runs = STYLED_CHARACTERS if extended else BOLD_LETTERS
-    return F.translate(text, "".join(r[0] for r in runs), "".join(r[1] for r in runs))
+    styled, plain = ("".join(side) for side in zip(*runs))
+    # the test is cheaper than a translation that changes nothing
+    present = F.regexp_like(text, F.lit("[" + "".join(f"{r[0][0]}-{r[0][-1]}" for r in runs) + "]"))
+    return F.when(present, F.translate(text, styled, plain)).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -88,11 +91,13 @@ def remove_symbols(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every Unicode space; Spark's ``trim`` only knows U+0020."""
-    return F.regexp_replace(text, EDGE_SPACES_RE, "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def squeeze(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, SPACES_RE, " ")))
+    """One blank for every run of white space, none at the ends, lowered."""
+    blanks = F.translate(text, SPACE_CHARACTERS, " " * len(SPACE_CHARACTERS))
+    return F.lower(F.trim(F.regexp_replace(blanks, "  +", " ")))
 
 
 def clean_text(text: Column, entities: bool = True, extended_fonts: bool = False) -> Column:
@@ -116,12 +121,9 @@ def words(text: Column) -> Column:
 
 def topic_tokens(text: Column, stopwords: Sequence[str] = TOPIC_STOPWORDS) -> Column:
     """Lowered words without links, mentions, hashtags, stopwords and short words."""
-    plain = remove_hashtags(remove_mentions(remove_urls(F.lower(text))))
-    spaced = F.regexp_replace(plain, f"[^{WORD}{SPACE}]", " ")
-    kept = F.filter(
-        F.split(spaced, SPACES_RE),
-        lambda w: (F.length(w) > 2) & ~w.isin(*stopwords),
-    )
+    plain = F.regexp_replace(remove_urls(F.lower(text)), f"[@#][{WORD}]+", "")
+    long_words = F.regexp_extract_all(plain, F.lit(f"[{WORD}]{{3,}}"), F.lit(0))
+    kept = F.filter(long_words, lambda w: ~w.isin(*stopwords))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 

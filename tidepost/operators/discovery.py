@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepost.functions.charclass import WORD_RE
 from tidepost.functions.fixed_values import CONTEXT_STOPWORDS
 from tidepost.functions.predicates import is_context_word, is_related_tag
 from tidepost.functions.text import hashtag_form, hashtags, prefixed_forms, words
@@ -30,6 +31,46 @@ def context_word_counts(
     return term_counts(tokens.where(is_context_word(F.col("term"), base_keyword, stopwords)))
 
 
+def tag_and_word_counts(
+    posts: DataFrame,
+    ord: str,
+    base_keyword: str,
+    text: str = "text",
+    stopwords: Sequence[str] = CONTEXT_STOPWORDS,
+) -> tuple[DataFrame, DataFrame]:
+    """Both counts from one read of the posts and one shuffle.
+
+    Words are counted with the ``#`` in front of them, if any; a tagged word is
+    a hashtag and also, without its mark, one more occurrence of the word.
+    """
+    marked = F.regexp_extract_all(
+        F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("#?" + WORD_RE), F.lit(0)
+    )
+    tagged = F.col("term").startswith("#")
+    tokens = explode_terms(posts, marked, F.col(ord))
+    counts = term_counts(
+        tokens.where(tagged | is_context_word(F.col("term"), base_keyword, stopwords))
+    )
+    # both readings of a counted term leave one generator, so that no filter on
+    # them moves below it and the two results share everything up to here
+    readings = F.filter(
+        F.array(
+            F.struct(F.lit(True).alias("tag"), F.col("term").alias("term")),
+            F.struct(F.lit(False).alias("tag"), F.regexp_replace("term", "^#", "").alias("term")),
+        ),
+        lambda r: F.when(r["tag"], r["term"].startswith("#")).otherwise(
+            is_context_word(r["term"], base_keyword, stopwords)
+        ),
+    )
+    read = counts.select(F.explode(readings).alias("r"), "n", "first").select("r.*", "n", "first")
+    words_only = (
+        read.where(~F.col("tag"))
+        .groupBy("term")
+        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    )
+    return read.where("tag").select("term", "n", "first"), words_only
+
+
 def smart_query(posts: DataFrame, ord: str, keyword: str, tags: int = 10) -> DataFrame:
     """One row ``query``: the keyword and its top hashtags joined by OR."""
     ranked = with_rank(top_terms(tag_counts(posts, ord), tags))
@@ -87,9 +128,8 @@ def expand_keywords(
     base = " OR ".join(keywords)
     parts = _base_variations(posts, keywords, prefixes)
     if context:
-        top_words = with_rank(
-            top_terms(context_word_counts(posts, ord, base, stopwords=stopwords), context)
-        )
+        tag_table, word_table = tag_and_word_counts(posts, ord, base, stopwords=stopwords)
+        top_words = with_rank(top_terms(word_table, context))
         parts = parts.unionByName(
             top_words.select(
                 F.lit(1).alias("kind"),
@@ -97,8 +137,10 @@ def expand_keywords(
                 F.concat(F.lit(base + " "), "term").alias("variation"),
             )
         )
+    else:
+        tag_table = tag_counts(posts, ord)
     # the count threshold applies after the cut to the most frequent tags
-    top_tags = with_rank(top_terms(tag_counts(posts, ord), tags)).where(
+    top_tags = with_rank(top_terms(tag_table, tags)).where(
         F.col("n") >= min_tag_count
     )
     if related_only:

@@ -22,7 +22,9 @@ def topic_documents(
 ) -> DataFrame:
     """``ord, tokens`` of the posts that keep at least one word."""
     tokens = topic_tokens(text_column(posts.columns), stopwords)
-    return posts.select(F.col(ord).alias("ord"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+    # a filter on the tokens would be pushed down and tokenise every text twice
+    kept = F.filter(F.array(tokens), lambda t: F.size(t) > 0)
+    return posts.select(F.col(ord).alias("ord"), F.explode(kept).alias("tokens"))
 
 
 def frequency_topics(
@@ -33,8 +35,8 @@ def frequency_topics(
     stopwords: Sequence[str] = TOPIC_STOPWORDS,
 ) -> DataFrame:
     """The most frequent words cut into ``topics`` groups: ``id, words, weight``."""
-    docs = topic_documents(posts, ord, stopwords)
-    counts = term_counts(explode_terms(docs, F.col("tokens"), F.col("ord")))
+    tokens = topic_tokens(text_column(posts.columns), stopwords)
+    counts = term_counts(explode_terms(posts, tokens, F.col(ord)))
     ranked = with_rank(top_terms(counts, topics * words_per_topic))
     group = F.floor((F.col("rank") - 1) / words_per_topic).cast("int") + 1
     return (
