@@ -679,3 +679,43 @@ def page_outcome(spark, folder):
     return visited.select(
         "page_id", pages.page_outcome(F.col("url"), F.col("html"), "&quot;", "ing").alias("outcome")
     )
+
+
+CARD = """<html><body><article data-testid="tweet"><div data-testid="User-Name"><a href="https://x.example/u%s">u</a></div>
+<div data-testid="tweetText">%s #%s</div>%s%s
+<div role="group"><button aria-label="%s a">r</button><button aria-label="7 b">t</button><button>l</button><button>v</button></div>
+</article><article data-testid="tweet"><p>no post</p></article></body></html>"""
+
+
+@register(
+    "post_cards",
+    """SELECT 'u' || (doc_id % 7) AS username, source || ' text #' || lang AS text, source || ' text #' || lang AS text_clean,
+      '#' || lang AS hashtags, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS timestamp,
+      CASE WHEN doc_id % 3 = 0 THEN 'https://x.example/p/' || doc_id ELSE 'https://x.com/u' || (doc_id % 7) END AS url,
+      CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n_chars END AS replies, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 7 END AS retweets,
+      CASE WHEN doc_id % 2 = 0 THEN n_chars * 1000 ELSE 0 END AS likes FROM documents""",
+)
+def post_cards(spark, folder):
+    """Cards drawn from the documents, read back as posts."""
+    i = F.col("doc_id")
+    time = F.concat(
+        F.when(i % 3 == 0, F.concat(F.lit('<a href="https://x.example/p/'), i, F.lit('">'))).otherwise("<b>"),
+        F.lit('<time datetime="'),
+        F.expr("timestampadd(HOUR, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").cast("string"),
+        F.lit('Z">x</time>'),
+        F.when(i % 3 == 0, "</a>").otherwise("</b>"),
+    )
+    like = F.when(
+        i % 2 == 0, F.concat(F.lit('<button data-testid="like" aria-label="'), "n_chars", F.lit('K likes">x</button>'))
+    ).otherwise("")
+    saved = documents(spark, folder).select(
+        i.alias("page_id"),
+        F.format_string(
+            CARD, i % 7, F.concat("source", F.lit(" text")), "lang", time, like, F.col("n_chars")
+        ).alias("html"),
+    )
+    cards = pages.post_cards(saved, "page_id")
+    found = pages.posts_from_cards(cards, F.current_timestamp())
+    return found.drop("scraped_at").withColumns(
+        {"hashtags": F.array_join("hashtags", " "), "timestamp": F.col("timestamp").cast("timestamp_ntz")}
+    )

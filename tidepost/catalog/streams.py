@@ -28,7 +28,7 @@ def _run(spark, stream, name):
 def stream_dedup(spark, folder):
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
     rows = _stream(spark, folder, "documents").select("doc_id", "text", at.alias("at"))
-    unique = operators.first_by_prefix(rows, "at", "36500 days")
+    unique = operators.first_by_prefix(rows, "at", "36500 days", spread="doc_id")
     return _run(spark, unique, "dedup").select("prefix", "size")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidepost.functions.dates import shortfall, top_up_request
 from tidepost.operators.dedup import keep_first
+from tidepost.operators.limits import first_rows
 
-# A source gives posts for a keyword: ``source(spark, keyword, count)``. The
-# count is a hint; the caller limits.
+# A pluggable source gives at most ``count`` posts for a keyword:
+# ``source(spark, keyword, count)``.
 Source = Callable[..., DataFrame]
 
 
@@ -61,4 +62,27 @@ def fill_to_target(
     if dedup:
         known = rows.where(F.coalesce(F.col(url), F.lit("")) != "")
         rows = keep_first(known, [F.col(url)], ["__source", *order])
-    return rows.orderBy("__source", *order).limit(target).drop("__source")
+    return first_rows(rows, ["__source", *order], target).drop("__source")
+
+
+def fill_from_source(
+    rows: DataFrame,
+    source: Source,
+    keywords: Sequence[str],
+    target: int,
+    order: Sequence[str],
+    dedup: bool = True,
+) -> DataFrame:
+    """Top up from a second source, keyword by keyword in list order.
+
+    All keywords are in the plan; the ones after the target is reached add no
+    row, as the cut follows the order of the keywords.
+    """
+    ask = top_up_limit(target)
+    extra = [source(rows.sparkSession, keyword, ask) for keyword in keywords]
+    return fill_to_target([rows, *extra], target, order, dedup)
+
+
+def top_up_limit(target: int) -> int:
+    """Most rows one keyword is asked for: a little over the target, at most 150."""
+    return min(target + 20, 150)

@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepost.functions.dates import planned_chunks
@@ -22,8 +22,13 @@ from tidepost.functions.predicates import (
 from tidepost.operators.dedup import first_by_prefix, first_by_url
 from tidepost.operators.discovery import expand_keywords
 from tidepost.operators.limits import first_rows, quota_per_group
+from tidepost.functions.text import text_column
+from tidepost.operators.sentiment import Model, with_lexicon_sentiment, with_model_sentiment
+from tidepost.operators.topics import lda_topics
 from tidepost.plans.fill import fill_to_target
 from tidepost.plans.work import first_matches, match_posts, work_items
+from tidepost.sources.readers import read_posts
+from tidepost.sources.writers import write_csv
 
 
 # Most variations of a job; days read when no dates are given.
@@ -124,5 +129,28 @@ def standard_job(
     return fill_to_target([found, *top_up], count, ["post_id"], dedup=False)
 
 
+def score_table(
+    spark: SparkSession, source: str, result: str, load_model: Callable[[], Model] | None = None
+) -> DataFrame:
+    """Stored posts with sentiment columns, written to a new path as CSV.
+
+    Scores with the lexicon, or with the model if one is given.
+    """
+    rows = read_posts(spark, [source])
+    scored = with_model_sentiment(rows, load_model) if load_model else with_lexicon_sentiment(rows)
+    write_csv(scored, result)
+    return scored
+
+
+def topics_of_table(
+    spark: SparkSession, source: str, ord: str = "url", topics: int = 5, words_per_topic: int = 10
+) -> DataFrame:
+    """LDA topics of the stored posts that have text."""
+    rows = read_posts(spark, [source])
+    body = text_column(rows.columns)
+    numbered = rows.where(F.coalesce(body, F.lit("")) != "").withColumn("__ord", F.xxhash64(ord))
+    return lda_topics(numbered, "__ord", topics, words_per_topic)
+
+
 def _days(start: str, end: str) -> int:
     return (date.fromisoformat(end) - date.fromisoformat(start)).days

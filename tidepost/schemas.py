@@ -17,7 +17,7 @@ POST = T.StructType(
     ]
 )
 
-# Posts as stored in text files: times as text, hashtags as text in CSV.
+# Posts as stored in JSON: times as text.
 POST_JSON = T.StructType(
     [
         T.StructField(
@@ -27,7 +27,6 @@ POST_JSON = T.StructType(
         for f in POST
     ]
 )
-POST_CSV = T.StructType([T.StructField(f.name, T.StringType()) for f in POST])
 
 SEARCH_ROW = T.StructType(
     [

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepost.schemas import CHECKPOINT, POST_CSV, POST_JSON
+from tidepost.schemas import CHECKPOINT, POST_JSON
 
 log = logging.getLogger(__name__)
 
@@ -23,18 +23,16 @@ def read_json_posts(
     return spark.read.schema(schema).option("multiLine", not lines).json(listed)
 
 
-def read_csv_posts(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType = POST_CSV
-) -> DataFrame:
-    """Headed CSV, every column text, quoted line breaks allowed."""
-    listed = path if isinstance(path, str) else list(path)
+def read_csv_posts(spark: SparkSession, path: str) -> DataFrame:
+    """Headed CSV, every column text and named by the header, line breaks in quotes.
+
+    Columns may come in any order; only the header line is read to plan this.
+    """
     return (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(listed)
+        .csv(path)
     )
 
 
@@ -60,12 +58,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_posts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read each path by its suffix (.json, .jsonl, .csv, .parquet); typed posts.
 
-    A missing path or an unknown suffix is reported and skipped.
+    A missing path or an unknown suffix is reported and skipped. CSV tables are
+    read one by one, since each has its own header.
     """
     readers = {
-        ".json": read_json_posts,
+        ".json": lambda s, p: read_json_posts(s, p),
         ".jsonl": lambda s, p: read_json_posts(s, p, lines=True),
-        ".csv": read_csv_posts,
+        ".csv": lambda s, p: _union([read_csv_posts(s, one) for one in p]),
         ".parquet": lambda s, p: s.read.parquet(*p),
     }
     grouped: dict[str, list[str]] = {}
@@ -80,6 +79,10 @@ def read_posts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     parts = [typed_posts(readers[suffix](spark, listed)) for suffix, listed in grouped.items()]
     if not parts:
         return typed_posts(spark.createDataFrame([], POST_JSON))
+    return _union(parts)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -112,7 +115,7 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*.html") -> DataFram
         .load(path)
         .select(
             F.col("path").alias("page_id"),
-            F.decode("content", F.lit("UTF-8")).alias("html"),
+            F.make_valid_utf8(F.col("content").cast("string")).alias("html"),
             F.col("modificationTime").alias("modified"),
         )
     )

@@ -18,13 +18,33 @@ from tidepost.functions.fixed_values import RATE_DANGER, RATE_LIMIT, RATE_WARNIN
 
 
 def first_by_prefix(
-    posts: DataFrame, ts: str, delay: str, text: str = "text", characters: int = 50
+    posts: DataFrame,
+    ts: str,
+    delay: str,
+    spread: str,
+    text: str = "text",
+    characters: int = 50,
+    salts: int = 32,
 ) -> DataFrame:
-    """One post per (first characters, length) within ``delay`` of event time."""
+    """One post per (first characters, length) within ``delay`` of event time.
+
+    ``spread`` is an id column. Copies are first dropped in ``salts`` parts of
+    each key, so a text that a third of all posts repeat is spread over as many
+    tasks before its few survivors meet.
+    """
     keyed = posts.where(F.col(text).isNotNull()).withColumns(
-        {"prefix": F.substring(text, 1, characters), "size": F.length(text)}
+        {
+            "prefix": F.substring(text, 1, characters),
+            "size": F.length(text),
+            "__salt": F.pmod(F.xxhash64(spread), F.lit(salts)),
+        }
+    )
+    return (
+        keyed.withWatermark(ts, delay)
+        .dropDuplicatesWithinWatermark(["prefix", "size", "__salt"])
+        .dropDuplicatesWithinWatermark(["prefix", "size"])
+        .drop("__salt")
     )
-    return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["prefix", "size"])
 
 
 def rolling_rate(
