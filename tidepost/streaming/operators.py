@@ -90,7 +90,9 @@ def stall_gaps(loops: DataFrame, loop_seconds: int = 60) -> DataFrame:
     """Add ``stalled``: loops that passed without a row before this one.
 
     Reads the landed output of :func:`loop_counts` as a second stream, so the
-    stateful step sees one row per loop however busy a job is.
+    stateful step sees one row per loop however busy a job is. That stream must
+    set no limit on files per trigger: loops are in order from one batch of the
+    first stream to the next, but not over the files of one batch.
     """
     job_type = loops.schema["job"].dataType.simpleString()
 
