@@ -92,11 +92,15 @@ def lda_topics(
         scaled = ElementwiseProduct(
             scalingVec=Vectors.dense(idf.tolist()), inputCol="tf", outputCol="tfidf"
         ).transform(weighted)
-        features = Normalizer(inputCol="tfidf", outputCol="features", p=2.0).transform(scaled)
-        model = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="features").fit(
-            features.select("features")
-        )
-        return _described(spark, counter.vocabulary, model.topicsMatrix().toArray(), words_per_topic)
+        normal = Normalizer(inputCol="tfidf", outputCol="features", p=2.0).transform(scaled)
+        # every iteration reads the vectors; they are far smaller than the tokens
+        features = normal.select("features").persist()
+        try:
+            lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="features")
+            matrix = lda.fit(features).topicsMatrix().toArray()
+        finally:
+            features.unpersist()
+        return _described(spark, counter.vocabulary, matrix, words_per_topic)
     finally:
         docs.unpersist()
 
