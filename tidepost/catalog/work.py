@@ -222,12 +222,21 @@ def match_posts(spark, folder):
 )
 def work_yield(spark, folder):
     rows, items = _items(spark, folder)
-    matches = work.match_posts(rows, items)
-    return work.work_yield(matches, work.first_matches(matches, ["post_id"])).withColumn(
+    return work.work_yield(work.match_posts(rows, items)).withColumn(
         "work_idx", F.col("work_idx").cast("bigint")
     )
 
 
+@register(
+    "first_matches",
+    f"WITH {ITEMS}, {FIRSTS} SELECT work_idx, post_id, url FROM firsts",
+)
+def first_matches(spark, folder):
+    rows, items = _items(spark, folder)
+    firsts = work.first_matches(work.match_posts(rows, items), ["post_id"])
+    return firsts.select(F.col("work_idx").cast("bigint").alias("work_idx"), "post_id", "url")
+
+
 @register(
     "pending_work",
     f"""WITH {ITEMS} SELECT work_idx, variation FROM items
@@ -255,8 +264,7 @@ TARGET = 400
 )
 def dynamic_quota(spark, folder):
     rows, items = _items(spark, folder)
-    matches = work.match_posts(rows, items)
-    yields = work.work_yield(matches, work.first_matches(matches, ["post_id"]))
+    yields = work.work_yield(work.match_posts(rows, items))
     return work.dynamic_quota(items, yields, TARGET).withColumn(
         "work_idx", F.col("work_idx").cast("bigint")
     )

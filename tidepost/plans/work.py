@@ -101,12 +101,19 @@ def first_matches(matches: DataFrame, order: list[str], url: str = "url") -> Dat
     return keep_first(known, [F.col(url)], ["work_idx", *order])
 
 
-def work_yield(matches: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``work_idx, fetched, new_unique`` of every item that matched a post."""
-    fetched = matches.groupBy("work_idx").agg(F.count("*").alias("fetched"))
-    new = firsts.groupBy("work_idx").agg(F.count("*").alias("new_unique"))
-    return fetched.join(new, "work_idx", "left").select(
-        "work_idx", "fetched", F.coalesce("new_unique", F.lit(0)).cast("bigint").alias("new_unique")
+def work_yield(matches: DataFrame, url: str = "url") -> DataFrame:
+    """``work_idx, fetched, new_unique`` of every item that matched a post.
+
+    A URL is new for the earliest item that found it. Matches are counted per
+    URL and item first, so the window sees at most one row per item of a URL.
+    """
+    counted = matches.groupBy(F.col(url).alias("__url"), "work_idx").agg(F.count("*").alias("__n"))
+    first = F.min("work_idx").over(Window.partitionBy("__url"))
+    is_new = (F.coalesce("__url", F.lit("")) != "") & (F.col("work_idx") == F.col("__first"))
+    return (
+        counted.withColumn("__first", first)
+        .groupBy("work_idx")
+        .agg(F.sum("__n").alias("fetched"), F.count_if(is_new).alias("new_unique"))
     )
 
 
