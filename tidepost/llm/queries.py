@@ -89,8 +89,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 
 KNN_SQL = """
-WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.n AS qn, q.vec_id AS query_id, d.vec_id, d.n, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
   FROM v q JOIN v d ON q.n <> d.n WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id, n) AS rank FROM s)
