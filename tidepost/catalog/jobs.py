@@ -16,8 +16,10 @@ START, END = "2024-01-01", "2024-09-15"
     f"""WITH {POSTS}, {SEARCH_ORDERED},
     found AS (SELECT * FROM posts WHERE NOT is_reply AND ts >= DATE '{START}' AND ts < DATE '{END}'
       AND (contains(lower(text), 'korupsi') OR contains(lower(text), 'bagus'))),
-    firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY text[1:50], length(text) ORDER BY post_id) = 1),
-    good AS (SELECT *, date_diff('day', DATE '{START}', CAST(ts AS DATE)) // 7 AS chunk_idx FROM firsts
+    chunked AS (SELECT *, date_diff('day', DATE '{START}', CAST(ts AS DATE)) // 7 AS chunk_idx FROM found),
+    firsts AS (SELECT * FROM chunked
+      QUALIFY row_number() OVER (PARTITION BY chunk_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM firsts
       WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')} AND {sql_long_enough('text')}),
     capped AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY chunk_idx ORDER BY post_id) <= 5000 // 37),
     uniq AS (SELECT * FROM capped WHERE coalesce(url, '') <> ''

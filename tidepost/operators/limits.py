@@ -8,18 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# a top-k sends up to k rows of every task to one; beyond this k, keys go alone
-WIDE_TOP = 1000
-
-
-def first_rows(rows: DataFrame, order: Sequence[Column | str], count: int) -> DataFrame:
+def first_rows(
+    rows: DataFrame, order: Sequence[Column | str], count: int, keys_first: bool = False
+) -> DataFrame:
     """The first ``count`` rows in ``order``.
 
-    A large count over ascending column names is answered in two steps: the
-    last wanted key is found on the key columns alone, then only rows up to it
-    are brought together.
+    A top-k brings up to ``count`` rows of every task together. For wide rows and a large
+    count over ascending column names, ``keys_first`` finds the last wanted key on the
+    key columns alone and then brings only rows up to it together; that reads ``rows`` twice.
     """
-    if count > WIDE_TOP and all(isinstance(c, str) for c in order):
+    if keys_first:
         keys = rows.select(*order).orderBy(*order).limit(count)
         last = keys.agg(F.max(F.struct(*order))).scalar()
         rows = rows.where(F.struct(*order) <= last)

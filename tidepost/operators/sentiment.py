@@ -14,15 +14,10 @@ from tidepost.functions.charclass import WORD
 from tidepost.functions.fixed_values import NEGATIVE_TERMS, POSITIVE_TERMS
 from tidepost.functions.text import model_input, model_label, strip, text_column
 
-# above this many terms one automaton pass is cheaper than a scan per term
-NATIVE_TERMS = 200
-
-
 def term_hits(text: Column, terms: Sequence[str], whole_word: bool = False) -> Column:
     """How many distinct terms occur in the text, in any case."""
     lowered = F.lower(text)
-    if len(terms) > NATIVE_TERMS and not whole_word:
-        return _automaton_hits(terms)(lowered)
+    distinct = dict.fromkeys(t.lower() for t in terms if t)
 
     def present(term: str) -> Column:
         if whole_word:
@@ -30,28 +25,11 @@ def term_hits(text: Column, terms: Sequence[str], whole_word: bool = False) -> C
             return F.regexp_like(lowered, quoted)
         return lowered.contains(term)
 
-    return reduce(lambda a, b: a + b, [present(t).cast("int") for t in terms], F.lit(0))
-
-
-def _automaton_hits(terms: Sequence[str]) -> Callable[[Column], Column]:
-    """Multi-pattern matcher for a large lexicon, built once per Python worker."""
-
-    @F.pandas_udf(T.IntegerType())
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        matcher = ahocorasick.Automaton()
-        for index, term in enumerate(dict.fromkeys(terms)):
-            matcher.add_word(term, index)
-        matcher.make_automaton()
-
-        def count(text: str | None) -> int:
-            return len({i for _, i in matcher.iter(text)}) if text else 0
-
-        for batch in batches:
-            yield batch.map(count)
-
-    return hits
+    # added pair by pair: the depth of the expression stays logarithmic
+    hits = [present(t).cast("int") for t in distinct] or [F.lit(0)]
+    while len(hits) > 1:
+        hits = [reduce(lambda a, b: a + b, hits[i : i + 2]) for i in range(0, len(hits), 2)]
+    return hits[0]
 
 
 def score_hits(positive: Column, negative: Column) -> tuple[Column, Column]:

@@ -96,7 +96,9 @@ def lda_topics(
         # every iteration reads the vectors; they are far smaller than the tokens
         features = normal.select("features").persist()
         try:
-            lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="features")
+            # expectation maximisation reads every text in every iteration; the online
+            # optimizer would only sample them
+            lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="features", optimizer="em")
             matrix = lda.fit(features).topicsMatrix().toArray()
         finally:
             features.unpersist()

@@ -72,17 +72,21 @@ def fill_from_source(
     target: int,
     order: Sequence[str],
     dedup: bool = True,
+    spare: int = 20,
+    most: int | None = 150,
 ) -> DataFrame:
     """Top up from a second source, keyword by keyword in list order.
 
-    All keywords are in the plan; the ones after the target is reached add no
-    row, as the cut follows the order of the keywords.
+    Each keyword is asked for what is still missing and ``spare`` more, at most ``most``
+    (None: no limit). No keyword is asked once the target is reached.
     """
-    ask = top_up_limit(target)
-    extra = [source(rows.sparkSession, keyword, ask) for keyword in keywords]
-    return fill_to_target([rows, *extra], target, order, dedup)
-
-
-def top_up_limit(target: int) -> int:
-    """Most rows one keyword is asked for: a little over the target, at most 150."""
-    return min(target + 20, 150)
+    parts = [rows]
+    filled = fill_to_target(parts, target, order, dedup)
+    for keyword in keywords:
+        missing = target - filled.count()
+        if missing <= 0:
+            break
+        ask = missing + spare if most is None else min(missing + spare, most)
+        parts.append(source(rows.sparkSession, keyword, ask))
+        filled = fill_to_target(parts, target, order, dedup)
+    return filled

@@ -80,22 +80,27 @@ def expand_job(
     lang: str | None = None,
     top_up: Sequence[DataFrame] = (),
     sample: DataFrame | None = None,
+    limit: int = VARIATIONS,
+    unlimited: bool = False,
 ) -> DataFrame:
     """Expand, plan, match, clean, deduplicate, top up and cut at ``count``.
 
-    ``count`` 0, or 10000 and more with both dates, means no cap. ``sample`` is
-    the discovery input; all original posts if not given. Top-up rows carry a
-    ``post_id`` that orders them.
+    ``unlimited`` (or ``count`` 0) means no cap and no top-up. ``sample`` is the
+    discovery input; all original posts if not given. ``limit`` is the most variations.
+    Dates that cannot be read make one chunk without a range, which matches every
+    day. Top-up rows carry a ``post_id`` that orders them.
     """
     source = originals(posts, lang)
     discovery = sample if sample is not None else source
-    variations = expand_keywords(discovery, "post_id", keywords, limit=VARIATIONS)
+    variations = expand_keywords(discovery, "post_id", keywords, limit=limit)
     chunks = planned_chunks(F.lit(start), F.lit(end), F.lit(asof).cast("date"), TRAILING_DAYS)
     items = work_items(variations, chunks)
-    span = _days(start, end) if start and end else TRAILING_DAYS
-    matches = match_posts(source, items, item_days=VARIATIONS * span)
+    plan = posts.sparkSession.range(1).select(
+        F.exists(chunks, lambda c: c["chunk_start"].try_cast("date").isNull()).alias("undated")
+    )
+    matches = match_posts(source, items, undated=bool(plan.first()["undated"]))
     firsts = first_matches(readable(matches, session=["work_idx"]), ["post_id"])
-    if count == 0 or (count >= 10000 and bool(start and end)):
+    if unlimited or count == 0:
         return firsts
     if not top_up:
         return first_rows(firsts, ["work_idx", "post_id"], count)
@@ -115,15 +120,18 @@ def standard_job(
     The top-up of this job keeps duplicates, the chunks do not.
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    found = readable(search(posts, keywords, first, last))
-    day = F.datediff(F.to_date("ts"), first)
+    found = search(posts, keywords, first, last)
     span = _days(start, end)
     if span > 7:
+        # each chunk is a collection session of its own, with its own memory of near-copies
         n_chunks = -(-span // 7)
-        chunked = found.withColumn("chunk_idx", F.floor(day / 7).cast("int"))
+        chunk = F.floor(F.datediff(F.to_date("ts"), first) / 7).cast("int")
+        chunked = readable(found.withColumn("chunk_idx", chunk), session=["chunk_idx"])
         found = first_by_url(
             quota_per_group(chunked, "chunk_idx", ["post_id"], count // n_chunks), ["post_id"]
         ).drop("chunk_idx")
+    else:
+        found = readable(found)
     if not top_up:
         return first_rows(found, ["post_id"], count)
     return fill_to_target([found, *top_up], count, ["post_id"], dedup=False)
@@ -143,13 +151,12 @@ def score_table(
 
 
 def topics_of_table(
-    spark: SparkSession, source: str, ord: str = "url", topics: int = 5, words_per_topic: int = 10
+    spark: SparkSession, source: str, ord: str, topics: int = 5, words_per_topic: int = 10
 ) -> DataFrame:
-    """LDA topics of the stored posts that have text."""
+    """LDA topics of the stored posts that have text; ``ord`` is the column that orders them."""
     rows = read_posts(spark, [source])
     body = text_column(rows.columns)
-    numbered = rows.where(F.coalesce(body, F.lit("")) != "").withColumn("__ord", F.xxhash64(ord))
-    return lda_topics(numbered, "__ord", topics, words_per_topic)
+    return lda_topics(rows.where(F.coalesce(body, F.lit("")) != ""), ord, topics, words_per_topic)
 
 
 def _days(start: str, end: str) -> int:

@@ -9,9 +9,6 @@ from tidepost.functions.dates import planned_quota, quota_per_chunk, remaining_q
 from tidepost.functions.text import filter_words
 from tidepost.operators.dedup import keep_first
 
-# about 200 bytes each: at most some 100 MB in every executor
-BROADCAST_ITEM_DAYS = 500_000
-
 
 def work_items(variations: DataFrame, chunks: Column) -> DataFrame:
     """Every variation with every chunk, numbered variation by variation.
@@ -47,9 +44,9 @@ def from_index(items: DataFrame, start: int) -> DataFrame:
 def match_posts(
     posts: DataFrame,
     items: DataFrame,
-    item_days: int | None = None,
     text: str = "text",
     ts: str = "ts",
+    undated: bool = False,
 ) -> DataFrame:
     """Posts each item asks for: in its date range, with one of its words.
 
@@ -58,21 +55,24 @@ def match_posts(
     each distinct word is looked up once per post, and items are tested against
     the words found.
 
-    ``item_days`` is the caller's proven bound on variations x days. Up to
-    ``BROADCAST_ITEM_DAYS`` the item table is broadcast and posts stay where
-    they are; without a bound, or beyond it, posts are shuffled by day and a
-    busy day is left to the adaptive skew join.
+    Spark broadcasts the item table if it is small enough by its size, else both sides
+    are shuffled by day and a busy day is left to the adaptive skew join. Items whose
+    dates cannot be read match nothing, or with ``undated`` every day of the posts.
     """
     words = F.array_distinct(F.transform(filter_words(F.col("variation")), F.lower))
-    days = F.sequence(
-        F.col("chunk_start").cast("date"), F.date_sub(F.col("chunk_end").cast("date"), 1)
+    first, last = F.col("chunk_start").try_cast("date"), F.col("chunk_end").try_cast("date")
+    item = F.struct("work_idx", "variation_idx", "chunk_idx", "words").alias("item")
+    worded = items.withColumn("words", words)
+    dated = worded.where(first < last).select(
+        F.explode(F.sequence(first, F.date_sub(last, 1))).alias("__day"), item
     )
+    if undated:
+        # two plan tables: items without dates, and the days on which there are posts
+        every = posts.select(F.to_date(ts).alias("__day")).distinct()
+        loose = worded.where(first.isNull() | last.isNull()).select(item)
+        dated = dated.unionByName(every.join(F.broadcast(loose), how="cross"))
     by_day = (
-        items.where(F.col("chunk_start").cast("date") < F.col("chunk_end").cast("date"))
-        .withColumns({"words": words, "__days": days})
-        .withColumn("item", F.struct("work_idx", "variation_idx", "chunk_idx", "words"))
-        .select(F.explode("__days").alias("__day"), "item")
-        .groupBy("__day")
+        dated.groupBy("__day")
         .agg(F.collect_list("item").alias("__items"))
         .withColumn("__words", F.array_distinct(F.flatten(F.transform("__items", lambda i: i["words"]))))
     )
@@ -83,8 +83,6 @@ def match_posts(
         "__items",
         lambda i: (F.size(i["words"]) == 0) | F.arrays_overlap(i["words"], F.col("__found")),
     )
-    if item_days is not None and item_days <= BROADCAST_ITEM_DAYS:
-        by_day = F.broadcast(by_day)
     return (
         lowered.join(by_day, "__day")
         .withColumn("__found", found)

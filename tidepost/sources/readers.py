@@ -18,9 +18,39 @@ log = logging.getLogger(__name__)
 def read_json_posts(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType = POST_JSON, lines: bool = False
 ) -> DataFrame:
-    """Files that hold one JSON array of posts; ``lines`` reads JSON Lines, which split."""
+    """Files that hold one JSON array of posts; ``lines`` reads JSON Lines, which split.
+
+    What is not valid JSON (a file, or a line) is left out; :func:`unreadable_json` lists it.
+    """
     listed = path if isinstance(path, str) else list(path)
-    return spark.read.schema(schema).option("multiLine", not lines).json(listed)
+    reader = spark.read.schema(schema).option("multiLine", not lines)
+    return reader.option("mode", "DROPMALFORMED").json(listed)
+
+
+CORRUPT = "_corrupt"
+
+
+def unreadable_json(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType = POST_JSON, lines: bool = False
+) -> DataFrame:
+    """``file, rows``: how many rows of each file :func:`read_json_posts` leaves out."""
+    listed = path if isinstance(path, str) else list(path)
+    rows = (
+        spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+        .option("multiLine", not lines)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .json(listed)
+        .withColumn("file", F.input_file_name())
+    )
+    # Spark refuses to read the corrupt column alone, so a second column is summed as 0.
+    one = F.lit(1) + F.pmod(F.xxhash64(schema.fieldNames()[0]), F.lit(1))
+    return rows.where(F.col(CORRUPT).isNotNull()).groupBy("file").agg(F.sum(one).alias("rows"))
+
+
+def stored_count(spark: SparkSession, path: str) -> int:
+    """Number of rows of a stored result, of whatever kind."""
+    return read_posts(spark, [path]).count()
 
 
 def read_csv_posts(spark: SparkSession, path: str) -> DataFrame:

@@ -70,9 +70,8 @@ class Intake:
         return self.target is not None and self._stored().count() >= self.target
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
+        # A committed batch never comes again, so its rows are kept even beyond the target.
         before = self._stored().where(F.col(BATCH) < batch_id)
-        if self.target is not None and before.count() >= self.target:
-            return
         rows = self.prepare(batch) if self.prepare else batch
         rows = first_by_url(rows, self.order, self.url) if batch_id == 0 else unseen(
             rows, before, self.order, self.url
@@ -87,20 +86,27 @@ class Intake:
             .start()
         )
 
-    def run(self, stream: DataFrame, timeout: int = 600) -> DataFrame:
-        """Take everything that has landed, or stop once the target is reached."""
+    def run(self, stream: DataFrame, timeout: int | None = None) -> DataFrame:
+        """Take everything that has landed, or stop once the target is reached.
+
+        What was not taken yet is taken by the next run on the same checkpoint. There
+        is no time limit unless one is given; passing it raises, never cuts the result.
+        """
         query = self.start(stream)
         waited = 0
         while not query.awaitTermination(1):
             waited += 1
-            if self.reached() or waited >= timeout:
+            if self.reached():
                 query.stop()
                 break
+            if timeout is not None and waited >= timeout:
+                query.stop()
+                raise TimeoutError(f"intake did not finish in {timeout} s")
         return self.rows()
 
 
 def run_to_table(
-    stream: DataFrame, sink: str, checkpoint: str, timeout: int = 600
+    stream: DataFrame, sink: str, checkpoint: str, timeout: int | None = None
 ) -> DataFrame:
     """Run an append-mode stream over all that has landed; give the sink's rows."""
     query = (
@@ -111,7 +117,9 @@ def run_to_table(
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream did not finish in {timeout} s")
     spark = stream.sparkSession
