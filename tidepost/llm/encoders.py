@@ -20,7 +20,7 @@ NUMBERS = "0-9²³¹¼-¾"
 COMMON = re.compile("[\t-\r\x20-\x7e¡-įı-ɏ‐-‧]*", re.ASCII)
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_END = "</w>"
-MEMO = 200_000
+MEMO = 400_000
 
 
 def default_path(name: str) -> str:
@@ -89,38 +89,46 @@ class WordIds:
         from tokenizers import Tokenizer
 
         ranks, self.special = _ranks(path, b"\0")
-        self.fast = tiktoken.Encoding(
-            "word-ends", pat_str=r"[^\x00]+\x00", mergeable_ranks=self._dense(ranks), special_tokens={}
-        )
+        self.fast = tiktoken.Encoding("word-ends", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.ends[[n for token, n in ranks.items() if token.endswith(b"\0") and token != b"\0"]] = True
         self.pieces = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
         self.exact = Tokenizer.from_file(path)
         self.exact.no_truncation()
         self.exact.no_padding()
         self.memo: dict[str, bytes] = {}
 
-    @staticmethod
-    def _dense(ranks: dict[bytes, int]) -> dict[bytes, int]:
-        return ranks
-
-    def _encode(self, word: str) -> bytes:
-        if COMMON.fullmatch(word) and not any(s in word for s in self.special):
-            parts = self.pieces.findall(word.lower())
-            ids = self.fast.encode_to_numpy("\0".join(parts) + "\0", disallowed_special=()) if parts else []
+    def _learn(self, words: list[str]) -> None:
+        """All new words in one call; their ids are parted where a piece ends."""
+        common, parts, sizes = [], [], []
+        for word in words:
+            if COMMON.fullmatch(word) and not ("<" in word and any(s in word for s in self.special)):
+                own = self.pieces.findall(word.lower())
+                common.append(word)
+                parts += own
+                sizes.append(len(own))
+            else:
+                clean = word.encode("utf-8", "replace").decode("utf-8")
+                ids = self.exact.encode(clean, add_special_tokens=False).ids
+                self.memo[word] = np.asarray(ids, dtype="<u4").tobytes()
+        if parts:
+            ids = self.fast.encode_to_numpy("\0".join(parts) + "\0", disallowed_special=()).astype("<u4")
+            stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[np.cumsum([0, *sizes])]
+            data, stops = ids.tobytes(), (4 * stops).tolist()
+            self.memo.update(zip(common, [data[a:b] for a, b in zip(stops, stops[1:])]))
         else:
-            clean = word.encode("utf-8", "replace").decode("utf-8")
-            ids = self.exact.encode(clean, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+            self.memo.update((w, b"") for w in common)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids. White space always parts tokens, so words are encoded apart."""
-        words = re.split("[\t-\r ]+", text) if not COMMON.fullmatch(text) else text.lower().split()
+        White space always parts tokens, so words are encoded apart, each new one once.
+        """
+        words = [t.lower().split() if COMMON.fullmatch(t) else re.split("[\t-\r ]+", t) for t in texts]
         memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
         if len(memo) > MEMO:
             memo.clear()
-        for word in set(words).difference(memo):
-            memo[word] = self._encode(word)
-        return b"".join([memo[w] for w in words])
+        new = set().union(*words).difference(memo)
+        if new:
+            self._learn(list(new))
+        return [b"".join([memo[w] for w in own]) for own in words]
