@@ -5,8 +5,8 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from tidepost.catalog import ORACLES, QUERIES
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 ROWS_ONLY = {"lda_topics"}
 EMPTY_WHEN_SMALL = {"cancelled_jobs"}
 
@@ -23,6 +23,8 @@ def test_entry_has_rows(spark):
 def test_only_listed_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
