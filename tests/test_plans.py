@@ -78,8 +78,8 @@ def test_work_items_and_resume(spark):
     assert work.from_index(items, 90).count() == 10
 
 
-@pytest.mark.parametrize("bound", [None, 100])
-def test_match_posts_equals_nested_loops(spark, bound):
+@pytest.mark.parametrize("undated", [False, True])
+def test_match_posts_equals_nested_loops(spark, undated):
     rng = random.Random(3)
     names = ["aceh banjir", "Medan 2024", "7 di", "#aceh"]
     variations = spark.createDataFrame(list(enumerate(names)), "variation_idx int, variation string")
@@ -90,7 +90,7 @@ def test_match_posts_equals_nested_loops(spark, bound):
         for i in range(200)
     ]
     posts = spark.createDataFrame(rows, "post_id int, text string, ts timestamp")
-    found = {(r.work_idx, r.post_id) for r in work.match_posts(posts, items, bound).collect()}
+    found = {(r.work_idx, r.post_id) for r in work.match_posts(posts, items, undated=undated).collect()}
     words = {0: ["aceh", "banjir"], 1: ["medan"], 2: [], 3: ["#aceh"]}
     wanted = {
         (item.work_idx, i)
@@ -202,3 +202,12 @@ def test_stall_runs(spark):
     loops = spark.createDataFrame([("j", i, n) for i, n in enumerate(news)], "job string, loop int, n int")
     rows = stalls.stall_runs(loops, "job", "loop", "n").orderBy("loop").collect()
     assert [r.stalled for r in rows] == [1, 2, 0, 1, 2, 0, 0, 1]
+
+
+def test_items_without_readable_dates_match_every_day(spark):
+    variations = spark.createDataFrame([(0, "aceh"), (1, "medan")], "variation_idx int, variation string")
+    items = work.work_items(variations, D.planned_chunks(F.lit("13/2020"), F.lit("x"), lit("2024-02-01")))
+    days = (dt.datetime(2020, 5, 1), dt.datetime(2024, 1, 1))
+    posts = spark.createDataFrame([(i, "di Aceh", day) for i, day in enumerate(days)], "post_id int, text string, ts timestamp")
+    assert work.match_posts(posts, items).count() == 0
+    assert {r.post_id for r in work.match_posts(posts, items, undated=True).collect()} == {0, 1}
