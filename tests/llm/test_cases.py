@@ -110,6 +110,7 @@ def test_language_cases(spark, hard, empty):
     rows = {r.doc_id: r for r in language.with_language(hard, model).collect()}
     assert {rows[i].lang_pred for i in (1, 2, 3)} == {"und"} and rows[1].score == 0
     assert rows[6].lang_pred in ("en", "de") and language.with_language(empty, model).count() == 0
+    assert language.words_of("x² ² ½ 7 été") == ["x²", "été"]
     nothing = language.fit(train.where("false"))
     assert {r.lang_pred for r in language.with_language(hard, nothing).collect()} == {"und"}
     assert language.judged(hard, model, "__j").drop("__j").columns == hard.columns

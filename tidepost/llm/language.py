@@ -44,8 +44,10 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; runs over ``MAX_WORD`` letters are cut into several."""
+    """Runs of letters in lower case (with a letter at least); runs over ``MAX_WORD`` letters are cut into several."""
     found = WORD.findall(text.lower())
+    if not text.isascii():  # the pattern also takes number signs such as superscripts
+        found = [w for w in found if any(map(str.isalpha, w))]
     if len(text) > MAX_WORD and any(len(w) > MAX_WORD for w in found):
         found = [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
     return found

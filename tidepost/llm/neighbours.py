@@ -8,8 +8,8 @@ follows a score that the group's k-th neighbour reaches at least:
     q.x >= p.c - R |c| - (|p| + R) d   for x within d of its pivot c.
 
 A data vector x can score at most p.x + R |x| with any query of the group, so it is replicated
-only to groups whose bound that reaches. Groups and data are cut into blocks of bounded size;
-each pair of blocks is solved on its own, and the k best of all blocks are the answer.
+only to groups whose bound that reaches. Groups and what reaches them are cut into blocks of bounded
+size; each pair of blocks is solved on its own, and the k best of all blocks are the answer.
 """
 
 from __future__ import annotations
@@ -67,9 +67,7 @@ def top_k(
     """
     id_type = table.schema[id_col].dataType.simpleString()
     vectors = stored(whole_vectors(table, id_col, vector_col, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "knn-vectors")
-    width, n, n_queries = vectors.agg(
-        F.max(F.size("v")), F.count("*"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0))
-    ).first()
+    width, n_queries = vectors.agg(F.max(F.size("v")), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0))).first()
     schema = f"query_id {id_type}, rank int, vec_id {id_type}, score long"
     if not n_queries or not width:
         return table.sparkSession.createDataFrame([], schema)
@@ -96,30 +94,45 @@ def top_k(
     )
     floors, radii = _bounds(placed, pivots, k)
     bounds = table.sparkSession.sparkContext.broadcast((floors, radii))
-    blocks = max(1, -(-n // BLOCK_ROWS))
 
-    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def within_reach(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the batch and the groups that they can score for."""
         p, (low, radius) = shared.value, bounds.value
+        x = _matrix(batch["v"].tolist(), width)
+        reach = x @ p.T + np.sqrt((x * x).sum(axis=1))[:, None] * np.maximum(radius, 0)
+        return np.nonzero((radius >= 0) & (reach + 1e-6 * (1 + np.abs(reach)) >= low))
+
+    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = _matrix(batch["v"].tolist(), width)
-            reach = x @ p.T + np.sqrt((x * x).sum(axis=1))[:, None] * np.maximum(radius, 0)
-            rows, groups = np.nonzero((radius >= 0) & (reach + 1e-6 * (1 + np.abs(reach)) >= low))
-            part = batch[["uid", "vec_id", "v"]].iloc[rows]
-            yield part.assign(cell=groups.astype(np.int32))
+            rows, groups = within_reach(batch)
+            yield batch[["uid", "vec_id", "v"]].iloc[rows].assign(cell=groups.astype(np.int32))
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cells, counts = np.unique(within_reach(batch)[1], return_counts=True)
+            yield pd.DataFrame({"cell": cells.astype(np.int32), "n": counts})
 
     data = placed.mapInPandas(replicate, f"uid long, vec_id {id_type}, v array<long>, cell int")
-    sizes = placed.where("is_query").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("chunks"))
+    # Blocks by what really reaches a group, so its queries are copied no oftener than that needs.
+    reached = placed.select("v").mapInPandas(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sizes = (
+        placed.where("is_query")
+        .groupBy("cell")
+        .agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("chunks"))
+        .join(reached, "cell")
+        .select("cell", "chunks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    )
     sizes = F.broadcast(stored(sizes, "knn-sizes"))  # at most MOST_PIVOTS rows
     queries = (
         placed.where("is_query")
         .join(sizes, "cell")
         .withColumn("chunk", F.expr("cast(pmod(xxhash64(uid), chunks) AS int)"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumn("block", F.expr("explode(sequence(0, blocks - 1))"))
         .select("cell", "chunk", "block", "uid", "vec_id", "v")
     )
     data = (
         data.join(sizes, "cell")
-        .withColumn("block", F.expr(f"cast(pmod(xxhash64(uid), {blocks}) AS int)"))
+        .withColumn("block", F.expr("cast(pmod(xxhash64(uid), blocks) AS int)"))
         .withColumn("chunk", F.expr("explode(sequence(0, chunks - 1))"))
         .select("cell", "chunk", "block", "uid", "vec_id", "v")
     )
