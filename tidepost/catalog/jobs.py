@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidepost.catalog.posts import KEYWORDS, sql_expand
 from tidepost.catalog.registry import POSTS, posts, register, sql_latin, sql_long_enough
 from tidepost.catalog.state import SEARCH_ORDERED, _search_rows
@@ -77,3 +79,49 @@ def expand_job(spark, folder):
         top_up=[_search_rows(spark, folder)],
     )
     return found.selectExpr("CAST(work_idx AS BIGINT) AS work_idx", "post_id", "url")
+
+
+@register(
+    "standard_job_undated",
+    f"""WITH {POSTS},
+    found AS (SELECT * FROM posts WHERE NOT is_reply
+      AND (contains(lower(text), 'korupsi') OR contains(lower(text), 'bagus'))),
+    firsts AS (SELECT * FROM found
+      QUALIFY row_number() OVER (PARTITION BY text[1:50], length(text) ORDER BY post_id) = 1)
+    SELECT post_id, url, text FROM firsts
+    WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')} AND {sql_long_enough('text')}""",
+)
+def standard_job_undated(spark, folder):
+    found = jobs.standard_job(posts(spark, folder), ["korupsi", "bagus"], None, None, None)
+    return found.select("post_id", "url", "text")
+
+
+@register(
+    "expand_job_uncapped",
+    f"""WITH {POSTS}, source_posts AS (SELECT * FROM posts WHERE NOT is_reply),
+    {sql_expand("source_posts", KEYWORDS)},
+    chunk AS (SELECT i AS chunk_idx, n, s + CAST(i * d AS INTEGER) AS chunk_start,
+        least(s + CAST((i + 1) * d AS INTEGER), e) AS chunk_end
+      FROM (SELECT s, e, {ADAPTIVE} AS d, unnest({sql_chunks('s', 'e', ADAPTIVE)}) AS i,
+            len({sql_chunks('s', 'e', ADAPTIVE)}) AS n
+            FROM (SELECT CAST(min(ts) AS DATE) AS s, CAST(max(ts) AS DATE) + 1 AS e FROM posts))),
+    items AS (SELECT variation_idx * n + chunk_idx AS work_idx, variation_idx, chunk_start, chunk_end FROM expanded, chunk),
+    words AS (SELECT variation_idx, [lower(w) FOR w IN string_split(variation, ' ')
+        IF length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$')] AS words FROM expanded),
+    hits AS (SELECT post_id, variation_idx FROM source_posts, words
+        WHERE len(words) = 0 OR len([w FOR w IN words IF contains(lower(text), w)]) > 0),
+    matches AS (SELECT p.*, i.work_idx FROM source_posts p JOIN hits h USING (post_id)
+        JOIN items i ON i.variation_idx = h.variation_idx AND p.ts >= i.chunk_start AND p.ts < i.chunk_end),
+    sessions AS (SELECT * FROM matches
+        QUALIFY row_number() OVER (PARTITION BY work_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM sessions WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')}
+        AND {sql_long_enough('text')} AND coalesce(url, '') <> '')
+    SELECT CAST(work_idx AS BIGINT) AS work_idx, post_id, url FROM good
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY work_idx, post_id) = 1""",
+)
+def expand_job_uncapped(spark, folder):
+    rows = posts(spark, folder)
+    span = rows.agg(F.to_date(F.min("ts")).alias("s"), F.date_add(F.to_date(F.max("ts")), 1).alias("e"))
+    start, end = map(str, span.first())
+    found = jobs.expand_job(rows, KEYWORDS, start, end, asof=end, count=0, unlimited=True)
+    return found.selectExpr("CAST(work_idx AS BIGINT) AS work_idx", "post_id", "url")

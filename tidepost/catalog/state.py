@@ -314,3 +314,25 @@ def json_store(spark, folder):
     path = scratch_path(spark, "posts") + ".jsonl"
     writers.write_json(_storable(spark, folder), path)
     return _read_back(spark, path)
+
+
+@register("sorted_csv_store", STORED)
+def sorted_csv_store(spark, folder):
+    path = scratch_path(spark, "sorted") + ".csv"
+    writers.write_csv_sorted(_storable(spark, folder), path)
+    return _read_back(spark, path)
+
+
+@register("json_and_csv_store", STORED)
+def json_and_csv_store(spark, folder):
+    path = scratch_path(spark, "both")
+    writers.write_json_and_csv(_storable(spark, folder), path + ".jsonl", path + ".csv")
+    return _read_back(spark, path + ".csv")
+
+
+@register("stored_count", "SELECT lang, count(*) AS rows FROM documents GROUP BY lang")
+def stored_count(spark, folder):
+    """Rows of a stored result, counted by one of its columns."""
+    path = scratch_path(spark, "counted") + ".parquet"
+    table(spark, folder, "documents").select("text", "lang").write.parquet(path)
+    return readers.read_posts(spark, [path]).groupBy("lang").agg(F.count("*").alias("rows"))

@@ -10,6 +10,7 @@ from tidepost.functions import dates as D
 from tidepost.operators import limits, rates
 from tidepost.operators.discovery import expand_keywords
 from tidepost.plans import work
+from tidepost.session import through_table
 
 
 def sql_chunks(start: str, end: str, days: str) -> str:
@@ -176,7 +177,7 @@ FIRSTS = """firsts AS (SELECT * FROM matches WHERE coalesce(url, '') <> ''
         FROM (SELECT work_idx, count(*) AS fetched FROM matches GROUP BY 1)
         LEFT JOIN (SELECT work_idx, count(*) AS new_unique FROM firsts GROUP BY 1) USING (work_idx))"""
 
-# the variations are at most this many, so days x variations stays a proven bound
+# the variations are at most this many
 VARIATIONS = 60
 
 
@@ -185,7 +186,9 @@ def _items(spark, folder):
     rows = posts(spark, folder)
     span = rows.agg(F.to_date(F.min("ts")).alias("s"), F.date_add(F.to_date(F.max("ts")), 1).alias("e"))
     chunks = span.select(D.adaptive_chunks(F.col("s"), F.col("e"))).scalar()
-    variations = expand_keywords(rows, "post_id", KEYWORDS, limit=VARIATIONS)
+    variations = through_table(
+        expand_keywords(rows, "post_id", KEYWORDS, limit=VARIATIONS), "variations"
+    )
     return rows, work.work_items(variations, chunks)
 
 
@@ -211,7 +214,7 @@ def work_items(spark, folder):
 )
 def match_posts(spark, folder):
     rows, items = _items(spark, folder)
-    return work.match_posts(rows, items).select(
+    return work.match_posts(rows, items, keep=["post_id"]).select(
         F.col("work_idx").cast("bigint").alias("work_idx"), "post_id"
     )
 
@@ -222,7 +225,7 @@ def match_posts(spark, folder):
 )
 def work_yield(spark, folder):
     rows, items = _items(spark, folder)
-    return work.work_yield(work.match_posts(rows, items)).withColumn(
+    return work.work_yield(work.match_posts(rows, items, keep=["url"])).withColumn(
         "work_idx", F.col("work_idx").cast("bigint")
     )
 
@@ -233,7 +236,7 @@ def work_yield(spark, folder):
 )
 def first_matches(spark, folder):
     rows, items = _items(spark, folder)
-    firsts = work.first_matches(work.match_posts(rows, items), ["post_id"])
+    firsts = work.first_matches(work.match_posts(rows, items, keep=["post_id", "url"]), ["post_id"])
     return firsts.select(F.col("work_idx").cast("bigint").alias("work_idx"), "post_id", "url")
 
 
@@ -244,12 +247,25 @@ def first_matches(spark, folder):
 )
 def pending_work(spark, folder):
     rows, items = _items(spark, folder)
-    done = work.match_posts(rows.where("post_id % 50 = 7"), items)
+    done = work.match_posts(rows.where("post_id % 50 = 7"), items, keep=["post_id"])
     return work.unfinished(items, done).select(
         F.col("work_idx").cast("bigint").alias("work_idx"), "variation"
     )
 
 
+@register(
+    "work_from_index",
+    f"""WITH {ITEMS} SELECT work_idx, variation FROM items
+    WHERE work_idx >= (SELECT count(*) // 2 FROM items)""",
+)
+def work_from_index(spark, folder):
+    _, items = _items(spark, folder)
+    half = items.agg(F.floor(F.count("*") / 2)).scalar()
+    return work.from_index(items, half).select(
+        F.col("work_idx").cast("bigint").alias("work_idx"), "variation"
+    )
+
+
 TARGET = 400
 
 
@@ -264,7 +280,7 @@ TARGET = 400
 )
 def dynamic_quota(spark, folder):
     rows, items = _items(spark, folder)
-    yields = work.work_yield(work.match_posts(rows, items))
+    yields = work.work_yield(work.match_posts(rows, items, keep=["url"]))
     return work.dynamic_quota(items, yields, TARGET).withColumn(
         "work_idx", F.col("work_idx").cast("bigint")
     )

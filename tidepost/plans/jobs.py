@@ -19,7 +19,7 @@ from tidepost.functions.predicates import (
     long_enough,
     mostly_latin,
 )
-from tidepost.operators.dedup import first_by_prefix, first_by_url
+from tidepost.operators.dedup import first_by_prefix, first_by_url, keep_first
 from tidepost.operators.discovery import expand_keywords
 from tidepost.operators.limits import first_rows, quota_per_group
 from tidepost.functions.text import text_column
@@ -27,6 +27,7 @@ from tidepost.operators.sentiment import Model, with_lexicon_sentiment, with_mod
 from tidepost.operators.topics import lda_topics
 from tidepost.plans.fill import fill_to_target
 from tidepost.plans.work import first_matches, match_posts, work_items
+from tidepost.session import through_table
 from tidepost.sources.readers import read_posts
 from tidepost.sources.writers import write_csv
 
@@ -64,10 +65,13 @@ def readable(
     ``session`` names the columns of one collection session; copies are only
     looked for inside it.
     """
-    kept = first_by_prefix(posts, order, within=session)
-    if "username" in posts.columns:
-        kept = kept.where(account_allowed(F.col("username")))
-    return kept.where(mostly_latin(F.col("text")) & long_enough(F.col("text")))
+    return first_by_prefix(posts, order, within=session).where(passes_intake(posts.columns))
+
+
+def passes_intake(columns: Sequence[str]) -> Column:
+    """Account (if the posts have one), script and quality rules."""
+    rules = mostly_latin(F.col("text")) & long_enough(F.col("text"))
+    return account_allowed(F.col("username")) & rules if "username" in columns else rules
 
 
 def expand_job(
@@ -88,50 +92,78 @@ def expand_job(
     ``unlimited`` (or ``count`` 0) means no cap and no top-up. ``sample`` is the
     discovery input; all original posts if not given. ``limit`` is the most variations.
     Dates that cannot be read make one chunk without a range, which matches every
-    day. Top-up rows carry a ``post_id`` that orders them.
+    day. Top-up rows carry a ``post_id`` that orders them. ``post_id`` names one post.
     """
     source = originals(posts, lang)
     discovery = sample if sample is not None else source
-    variations = expand_keywords(discovery, "post_id", keywords, limit=limit)
+    # at most ``limit`` rows, read several times by the plan that follows
+    variations = through_table(
+        expand_keywords(discovery, "post_id", keywords, limit=limit), "variations"
+    )
     chunks = planned_chunks(F.lit(start), F.lit(end), F.lit(asof).cast("date"), TRAILING_DAYS)
     items = work_items(variations, chunks)
     plan = posts.sparkSession.range(1).select(
         F.exists(chunks, lambda c: c["chunk_start"].try_cast("date").isNull()).alias("undated")
     )
-    matches = match_posts(source, items, undated=bool(plan.first()["undated"]))
-    firsts = first_matches(readable(matches, session=["work_idx"]), ["post_id"])
-    if unlimited or count == 0:
-        return firsts
-    if not top_up:
-        return first_rows(firsts, ["work_idx", "post_id"], count)
-    return fill_to_target([firsts, *top_up], count, ["work_idx", "post_id"])
+    # Each post is judged once; matching, copies and the cap then run on narrow rows.
+    judged = source.withColumns(
+        {
+            "__start": F.substring("text", 1, 50),
+            "__size": F.length("text"),
+            "__passes": passes_intake(posts.columns),
+        }
+    )
+    matches = match_posts(
+        judged,
+        items,
+        undated=bool(plan.first()["undated"]),
+        keep=["post_id", "url", "__start", "__size", "__passes"],
+    )
+    copies = [F.col("work_idx"), F.col("__start"), F.col("__size")]
+    sessions = keep_first(matches.where(F.col("__size").isNotNull()), copies, ["post_id"])
+    firsts = first_matches(sessions.where("__passes"), ["post_id"]).select(
+        "post_id", "work_idx", "variation_idx", "chunk_idx"
+    )
+    if not unlimited and count:
+        firsts = first_rows(firsts, ["work_idx", "post_id"], count)
+    found = source.join(firsts, "post_id").select(
+        *source.columns, "work_idx", "variation_idx", "chunk_idx"
+    )
+    if unlimited or not count or not top_up:
+        return found
+    return fill_to_target([found, *top_up], count, ["work_idx", "post_id"])
 
 
 def standard_job(
     posts: DataFrame,
     keywords: Sequence[str],
-    start: str,
-    end: str,
-    count: int,
+    start: str | None,
+    end: str | None,
+    count: int | None,
     top_up: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """One search; a range over a week is read in weekly chunks with equal quotas.
 
-    The top-up of this job keeps duplicates, the chunks do not.
+    Without both dates the whole table is one search. ``count`` None means no cap, no
+    quotas and no top-up. The top-up of this job keeps duplicates, the chunks do not.
     """
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    dated = bool(start and end)
+    first = F.lit(start).cast("date") if dated else None
+    last = F.lit(end).cast("date") if dated else None
     found = search(posts, keywords, first, last)
-    span = _days(start, end)
+    span = _days(start, end) if dated else 0
     if span > 7:
         # each chunk is a collection session of its own, with its own memory of near-copies
         n_chunks = -(-span // 7)
         chunk = F.floor(F.datediff(F.to_date("ts"), first) / 7).cast("int")
         chunked = readable(found.withColumn("chunk_idx", chunk), session=["chunk_idx"])
-        found = first_by_url(
-            quota_per_group(chunked, "chunk_idx", ["post_id"], count // n_chunks), ["post_id"]
-        ).drop("chunk_idx")
+        if count is not None:
+            chunked = quota_per_group(chunked, "chunk_idx", ["post_id"], count // n_chunks)
+        found = first_by_url(chunked, ["post_id"]).drop("chunk_idx")
     else:
         found = readable(found)
+    if count is None:
+        return found
     if not top_up:
         return first_rows(found, ["post_id"], count)
     return fill_to_target([found, *top_up], count, ["post_id"], dedup=False)

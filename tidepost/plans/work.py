@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def unfinished(items: DataFrame, ledger: DataFrame) -> DataFrame:
     return items.join(ledger.select("work_idx"), "work_idx", "left_anti").select(*items.columns)
 
 
-def from_index(items: DataFrame, start: int) -> DataFrame:
+def from_index(items: DataFrame, start: int | Column) -> DataFrame:
     """Items from an index on: the coarser way to resume."""
     return items.where(F.col("work_idx") >= start)
 
@@ -47,16 +49,19 @@ def match_posts(
     text: str = "text",
     ts: str = "ts",
     undated: bool = False,
+    keep: Sequence[str] | None = None,
+    salts: int = 16,
 ) -> DataFrame:
     """Posts each item asks for: in its date range, with one of its words.
 
-    ``posts`` must not already hold the item columns. Items reach the posts as
-    one array per day of their range, in an equi-join on the day. Inside a day
-    each distinct word is looked up once per post, and items are tested against
-    the words found.
+    ``posts`` must not already hold the item columns. Each distinct word of the plan is
+    looked up once per post, before any join. Items then reach the posts as one
+    array per day of their range, in an equi-join on the day, and are tested against
+    the words found. ``keep`` names the columns of ``posts`` that the result holds
+    (by default all); without the text among them, no text is ever shuffled.
 
-    Spark broadcasts the item table if it is small enough by its size, else both sides
-    are shuffled by day and a busy day is left to the adaptive skew join. Items whose
+    Spark broadcasts the item table if it is small enough by its size. Else both sides are
+    shuffled by day and salt, so a busy day is spread over ``salts`` tasks. Items whose
     dates cannot be read match nothing, or with ``undated`` every day of the posts.
     """
     words = F.array_distinct(F.transform(filter_words(F.col("variation")), F.lower))
@@ -67,29 +72,34 @@ def match_posts(
         F.explode(F.sequence(first, F.date_sub(last, 1))).alias("__day"), item
     )
     if undated:
-        # two plan tables: items without dates, and the days on which there are posts
+        # items without dates, as one array, on each of the days on which there are posts
+        loose = worded.where(first.isNull() | last.isNull()).agg(F.collect_list(item)).scalar()
         every = posts.select(F.to_date(ts).alias("__day")).distinct()
-        loose = worded.where(first.isNull() | last.isNull()).select(item)
-        dated = dated.unionByName(every.join(F.broadcast(loose), how="cross"))
+        dated = dated.unionByName(every.select("__day", F.explode(loose).alias("item")))
     by_day = (
         dated.groupBy("__day")
         .agg(F.collect_list("item").alias("__items"))
-        .withColumn("__words", F.array_distinct(F.flatten(F.transform("__items", lambda i: i["words"]))))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    # the plan's words, a few per variation
+    known = worded.agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("w")).scalar()
+    kept = list(keep) if keep is not None else posts.columns
+    looked_up = posts.withColumns({"__lower": F.lower(text), "__known": known}).select(
+        *kept,
+        F.to_date(ts).alias("__day"),
+        # the same for a repeated task, and spread over any one day or text
+        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"),
+        F.filter("__known", lambda w: F.contains(F.col("__lower"), w)).alias("__found"),
     )
-    lowered = posts.withColumns({"__day": F.to_date(ts), "__lower": F.lower(text)})
-    found = F.filter("__words", lambda w: F.contains(F.col("__lower"), w))
     # an item without words keeps every post of its range
     wanted = F.filter(
         "__items",
         lambda i: (F.size(i["words"]) == 0) | F.arrays_overlap(i["words"], F.col("__found")),
     )
     return (
-        lowered.join(by_day, "__day")
-        .withColumn("__found", found)
-        .select(*posts.columns, F.explode(wanted).alias("__item"))
-        .select(
-            *posts.columns, "__item.work_idx", "__item.variation_idx", "__item.chunk_idx"
-        )
+        looked_up.join(by_day, ["__day", "__salt"])
+        .select(*kept, F.explode(wanted).alias("__item"))
+        .select(*kept, "__item.work_idx", "__item.variation_idx", "__item.chunk_idx")
     )
 
 
