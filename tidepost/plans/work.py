@@ -84,12 +84,16 @@ def match_posts(
     # the plan's words, a few per variation
     known = worded.agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("w")).scalar()
     kept = list(keep) if keep is not None else posts.columns
-    looked_up = posts.withColumns({"__lower": F.lower(text), "__known": known}).select(
+    # lowered as a lambda's argument, so that it is not worked out again for every word
+    found = F.transform(
+        F.array(F.lower(text)), lambda t: F.filter("__known", lambda w: F.contains(t, w))
+    )
+    looked_up = posts.withColumn("__known", known).select(
         *kept,
         F.to_date(ts).alias("__day"),
         # the same for a repeated task, and spread over any one day or text
         F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"),
-        F.filter("__known", lambda w: F.contains(F.col("__lower"), w)).alias("__found"),
+        F.element_at(found, 1).alias("__found"),
     )
     # an item without words keeps every post of its range
     wanted = F.filter(
