@@ -47,3 +47,29 @@ def found(spark):
 
 def test_headers_of_relatives(found):
     assert dict(zip(CASES, found([f"some words before it. {c} some words after it." for c in CASES]))) == CASES
+
+
+def test_whole_texts_and_bodies(found):
+    from pathlib import Path
+
+    texts = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    assert len({t.split("~")[0] for t in texts}) >= 26
+    every = found([f"{'word ' * 500}{t} {'other ' * 500}" for t in texts.values()])
+    assert dict(zip(texts, every)) == {t: {t.split("~")[0]} for t in texts}
+    bodies = {
+        # the grant alone, the conditions alone, a text in comment marks with a line of it missing
+        "MIT": texts["MIT"].split("\n\n")[0],
+        "Apache-2.0": texts["Apache-2.0"][2000:8000],
+        "BSD-3-Clause": texts["BSD-3-Clause"].replace("\n", "\n# "),
+        "GPL-2.0": texts["GPL-2.0"].replace("\n", "\n * ")[:-2500],
+        "MPL-2.0": texts["MPL-2.0"][3000:9000],
+    }
+    assert found(bodies.values()) == [{name} for name in bodies]
+
+
+def test_templates_from_a_table(spark, found):
+    rows = [("House-1", "Only the house of the seven gables may copy this"), ("House-1", None), (None, "x"), ("House-2", "")]
+    table = spark.createDataFrame(rows, "license string, text string")
+    texts = ["yes: only the house of the seven gables may copy this.", "Released under the MIT License."]
+    assert found(texts, templates=table) == [{"House-1"}, set()]
+    assert found(texts, templates=table.where("false")) == [set(), set()]
