@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidepost.catalog.posts import KEYWORDS, sql_expand
-from tidepost.catalog.registry import POSTS, posts, register, sql_latin, sql_long_enough
+from tidepost.catalog.registry import POSTS, SPAN, posts, register, span_of, sql_latin, sql_long_enough
 from tidepost.catalog.state import SEARCH_ORDERED, _search_rows
 from tidepost.catalog.work import ADAPTIVE, sql_chunks
 from tidepost.plans import jobs
+from tidepost.plans.fill import fill_to_target
 
 START, END = "2024-01-01", "2024-09-15"
 
@@ -121,7 +120,84 @@ def standard_job_undated(spark, folder):
 )
 def expand_job_uncapped(spark, folder):
     rows = posts(spark, folder)
-    span = rows.agg(F.to_date(F.min("ts")).alias("s"), F.date_add(F.to_date(F.max("ts")), 1).alias("e"))
-    start, end = map(str, span.first())
+    start, end = span_of(rows)
     found = jobs.expand_job(rows, KEYWORDS, start, end, asof=end, count=0, unlimited=True)
     return found.selectExpr("CAST(work_idx AS BIGINT) AS work_idx", "post_id", "url")
+
+
+@register(
+    "standard_job_spanned",
+    f"""WITH {POSTS}, {SPAN}, {SEARCH_ORDERED},
+    found AS (SELECT posts.*, date_diff('day', s, CAST(ts AS DATE)) // 7 AS chunk_idx FROM posts, span
+      WHERE NOT is_reply AND ts >= s AND ts < e
+      AND (contains(lower(text), 'korupsi') OR contains(lower(text), 'bagus'))),
+    firsts AS (SELECT * FROM found
+      QUALIFY row_number() OVER (PARTITION BY chunk_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM firsts
+      WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')} AND {sql_long_enough('text')}),
+    uniq AS (SELECT * FROM good WHERE coalesce(url, '') <> ''
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY post_id) = 1)
+    SELECT post_id, url, text FROM uniq UNION ALL SELECT post_id, url, text FROM search""",
+)
+def standard_job_spanned(spark, folder):
+    rows = posts(spark, folder)
+    found = jobs.standard_job(rows, ["korupsi", "bagus"], *span_of(rows), None)
+    filled = fill_to_target([found, _search_rows(spark, folder)], None, ["post_id"], dedup=False)
+    return filled.select("post_id", "url", "text")
+
+
+# the chunks' quota, small enough that every full week has more
+QUOTA = 20
+
+
+@register(
+    "standard_job_quota",
+    f"""WITH {POSTS}, {SPAN},
+    found AS (SELECT posts.*, date_diff('day', s, CAST(ts AS DATE)) // 7 AS chunk_idx FROM posts, span
+      WHERE NOT is_reply AND ts >= s AND ts < e
+      AND (contains(lower(text), 'korupsi') OR contains(lower(text), 'bagus'))),
+    firsts AS (SELECT * FROM found
+      QUALIFY row_number() OVER (PARTITION BY chunk_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM firsts
+      WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')} AND {sql_long_enough('text')}),
+    capped AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY chunk_idx ORDER BY post_id) <= {QUOTA})
+    SELECT post_id, url, text FROM capped WHERE coalesce(url, '') <> ''
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY post_id) = 1""",
+)
+def standard_job_quota(spark, folder):
+    rows = posts(spark, folder)
+    found = jobs.standard_job(rows, ["korupsi", "bagus"], *span_of(rows), None, quota=QUOTA)
+    return found.select("post_id", "url", "text")
+
+
+@register(
+    "expand_job_spanned",
+    f"""WITH {POSTS}, {SEARCH_ORDERED}, source_posts AS (SELECT * FROM posts WHERE NOT is_reply AND lang = 'en'),
+    {sql_expand("source_posts", KEYWORDS)}, {SPAN},
+    chunk AS (SELECT i AS chunk_idx, n, s + CAST(i * d AS INTEGER) AS chunk_start,
+        least(s + CAST((i + 1) * d AS INTEGER), e) AS chunk_end
+      FROM (SELECT s, e, {ADAPTIVE} AS d, unnest({sql_chunks('s', 'e', ADAPTIVE)}) AS i,
+            len({sql_chunks('s', 'e', ADAPTIVE)}) AS n FROM span)),
+    items AS (SELECT variation_idx * n + chunk_idx AS work_idx, variation_idx, chunk_start, chunk_end FROM expanded, chunk),
+    words AS (SELECT variation_idx, [lower(w) FOR w IN string_split(variation, ' ')
+        IF length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$')] AS words FROM expanded),
+    hits AS (SELECT post_id, variation_idx FROM source_posts, words
+        WHERE len(words) = 0 OR len([w FOR w IN words IF contains(lower(text), w)]) > 0),
+    matches AS (SELECT p.*, i.work_idx FROM source_posts p JOIN hits h USING (post_id)
+        JOIN items i ON i.variation_idx = h.variation_idx AND p.ts >= i.chunk_start AND p.ts < i.chunk_end),
+    sessions AS (SELECT * FROM matches
+        QUALIFY row_number() OVER (PARTITION BY work_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM sessions WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')}
+        AND {sql_long_enough('text')} AND coalesce(url, '') <> ''),
+    firsts AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY url ORDER BY work_idx, post_id) = 1),
+    both_ AS (SELECT 0 AS s, work_idx, post_id, url FROM firsts UNION ALL SELECT 1, NULL, post_id, url FROM search),
+    uniq AS (SELECT * FROM both_ WHERE coalesce(url, '') <> ''
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, work_idx NULLS FIRST, post_id) = 1)
+    SELECT CAST(work_idx AS BIGINT) AS work_idx, post_id, url FROM uniq""",
+)
+def expand_job_spanned(spark, folder):
+    rows = posts(spark, folder)
+    start, end = span_of(rows)
+    found = jobs.expand_job(rows, KEYWORDS, start, end, asof=end, count=0, lang="en", unlimited=True)
+    filled = fill_to_target([found, _search_rows(spark, folder)], None, ["work_idx", "post_id"])
+    return filled.selectExpr("CAST(work_idx AS BIGINT) AS work_idx", "post_id", "url")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidepost.catalog.registry import (
     POSTS,
+    SPAN,
     documents,
     posts,
     register,
+    span_of,
     sql_clean,
     sql_latin,
     sql_list,
@@ -346,6 +348,20 @@ def search_posts(spark, folder):
     return kept.select("post_id", "url")
 
 
+@register(
+    "search_posts_spanned",
+    f"""WITH {POSTS}, {SPAN} SELECT post_id, url FROM posts, span WHERE NOT is_reply AND lang = 'en'
+      AND ts >= s AND ts < e AND (contains(lower(text), 'korupsi') OR contains(lower(text), 'bagus'))
+      AND coalesce(url, '') <> '' AND lower(trim(username)) <> 'grok'""",
+)
+def search_posts_spanned(spark, folder):
+    rows = posts(spark, folder)
+    start, end = (F.lit(d).cast("date") for d in span_of(rows))
+    found = jobs.search(rows, ["korupsi", "Bagus"], start, end, "en")
+    kept = found.where(P.has_url(F.col("url")) & P.account_allowed(F.col("username")))
+    return kept.select("post_id", "url")
+
+
 # --- dedup -------------------------------------------------------------------
 
 @register(

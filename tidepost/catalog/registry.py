@@ -33,6 +33,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
+    return as_posts(documents(spark, folder))
+
+
+def span_of(rows: DataFrame) -> tuple[str, str]:
+    """First day of the posts and the day after their last."""
+    span = rows.agg(F.to_date(F.min("ts")).alias("s"), F.date_add(F.to_date(F.max("ts")), 1).alias("e"))
+    start, end = map(str, span.first())
+    return start, end
+
+
+def as_posts(docs: DataFrame) -> DataFrame:
     """``documents`` dressed as posts: tags, a mention, a link, a sentiment word."""
     i = F.col("doc_id")
     mood = F.element_at(
@@ -43,7 +54,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(" http://t.example/"), i.cast("string"), F.lit(" "), mood,
     )
     shared = F.when(i % 4 == 3, i).otherwise(i - i % 4)
-    return documents(spark, folder).select(
+    return docs.select(
         i.alias("post_id"),
         F.when(i % 50 == 0, F.lit(" Grok ")).otherwise(F.concat(F.lit("u"), (i % 7).cast("string"))).alias(
             "username"
@@ -72,6 +83,9 @@ POSTS = """posts AS (
          lang, source, doc_id % 4 = 0 AS is_reply, n_chars
   FROM documents)"""
 
+#: First day of the posts and the day after their last.
+SPAN = "span AS (SELECT CAST(min(ts) AS DATE) AS s, CAST(max(ts) AS DATE) + 1 AS e FROM posts)"
+
 
 def sql_clean(column: str) -> str:
     """SQL form of the text normalisation, without fonts and entities."""

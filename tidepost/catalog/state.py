@@ -231,6 +231,29 @@ def fallback_fill_plain(spark, folder):
     return fill.fill_to_target([first, second], 1500, ["post_id"], dedup=False)
 
 
+@register(
+    "fallback_fill_uncapped",
+    f"""WITH {POSTS}, {SEARCH_ORDERED},
+    both_ AS (SELECT 0 AS s, post_id, url, text, source FROM posts UNION ALL SELECT 1, post_id, url, text, source FROM search)
+    SELECT post_id, url, text, source FROM both_ WHERE coalesce(url, '') <> ''
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY s, post_id) = 1""",
+)
+def fallback_fill_uncapped(spark, folder):
+    first = posts(spark, folder).select("post_id", "url", "text", "source")
+    return fill.fill_to_target([first, _search_rows(spark, folder)], None, ["post_id"])
+
+
+@register(
+    "fallback_fill_plain_uncapped",
+    f"""WITH {POSTS}, {SEARCH_ORDERED}
+    SELECT post_id, url, source FROM posts UNION ALL SELECT post_id, url, source FROM search""",
+)
+def fallback_fill_plain_uncapped(spark, folder):
+    first = posts(spark, folder).select("post_id", "url", "source")
+    second = _search_rows(spark, folder).drop("text")
+    return fill.fill_to_target([first, second], None, ["post_id"], dedup=False)
+
+
 @register(
     "missing_rows",
     f"""WITH {POSTS}, firsts AS (SELECT DISTINCT url FROM posts WHERE url IS NOT NULL)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepost.catalog.posts import FIRST_BY_URL
-from tidepost.catalog.registry import POSTS, posts, register, table
+from tidepost.catalog.registry import POSTS, as_posts, posts, register, table
 from tidepost.session import scratch_path
 from tidepost.streaming.intake import Intake, landed, run_to_table
 from tidepost.streaming import operators
@@ -14,7 +14,8 @@ from tidepost.streaming import operators
 
 def _stream(spark, folder, name):
     schema = table(spark, folder, name).schema
-    return landed(spark, folder, schema, glob=f"{name}.parquet")
+    # a pattern, as Spark streams from a file or from a folder of files only by a pattern alike
+    return landed(spark, f"{folder}/{name}.parque[t]", schema)
 
 
 def _run(spark, stream, name):
@@ -87,3 +88,20 @@ def _as_posts(batch):
     shared = F.when(i % 4 == 3, i).otherwise(i - i % 4)
     url = F.when(i % 97 != 0, F.concat(F.lit("https://p.example/"), shared.cast("string")))
     return batch.select(i.alias("post_id"), url.alias("url"))
+
+
+@register(
+    "stream_intake_uncapped",
+    f"WITH {POSTS} SELECT post_id, username, text, url, ts FROM ({FIRST_BY_URL.format(key='post_id', rows='posts')})",
+)
+def stream_intake_uncapped(spark, folder):
+    kept = ["post_id", "username", "text", "url", "ts"]
+    intake = Intake(
+        spark,
+        sink=scratch_path(spark, "intake"),
+        checkpoint=scratch_path(spark, "intake-state"),
+        schema=posts(spark, folder).select(*kept).schema,
+        order=["post_id"],
+        prepare=lambda batch: as_posts(batch).select(*kept),
+    )
+    return intake.run(_stream(spark, folder, "documents"))

@@ -47,12 +47,12 @@ def missing_rows(rows: DataFrame, target: int) -> DataFrame:
 
 def fill_to_target(
     sources: Sequence[DataFrame],
-    target: int,
+    target: int | None,
     order: Sequence[str],
     dedup: bool = True,
     url: str = "url",
 ) -> DataFrame:
-    """Rows of the first source, then of the next ones, up to ``target``.
+    """Rows of the first source, then of the next ones, up to ``target`` (None: all of them).
 
     ``order`` orders rows inside a source. With ``dedup`` rows without a URL or
     with one seen before, in this or an earlier source, are skipped.
@@ -62,6 +62,8 @@ def fill_to_target(
     if dedup:
         known = rows.where(F.coalesce(F.col(url), F.lit("")) != "")
         rows = keep_first(known, [F.col(url)], ["__source", *order])
+    if target is None:
+        return rows.drop("__source")
     return first_rows(rows, ["__source", *order], target).drop("__source")
 
 

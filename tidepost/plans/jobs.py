@@ -141,11 +141,12 @@ def standard_job(
     end: str | None,
     count: int | None,
     top_up: Sequence[DataFrame] = (),
+    quota: int | None = None,
 ) -> DataFrame:
     """One search; a range over a week is read in weekly chunks with equal quotas.
 
-    Without both dates the whole table is one search. ``count`` None means no cap, no
-    quotas and no top-up. The top-up of this job keeps duplicates, the chunks do not.
+    Without both dates the whole table is one search. ``count`` None means no cap and no
+    top-up, and quotas only if ``quota`` gives the rows of a chunk. The top-up of this job keeps duplicates, the chunks do not.
     """
     dated = bool(start and end)
     first = F.lit(start).cast("date") if dated else None
@@ -157,8 +158,10 @@ def standard_job(
         n_chunks = -(-span // 7)
         chunk = F.floor(F.datediff(F.to_date("ts"), first) / 7).cast("int")
         chunked = readable(found.withColumn("chunk_idx", chunk), session=["chunk_idx"])
-        if count is not None:
-            chunked = quota_per_group(chunked, "chunk_idx", ["post_id"], count // n_chunks)
+        if quota is None and count is not None:
+            quota = count // n_chunks
+        if quota is not None:
+            chunked = quota_per_group(chunked, "chunk_idx", ["post_id"], quota)
         found = first_by_url(chunked, ["post_id"]).drop("chunk_idx")
     else:
         found = readable(found)
