@@ -176,10 +176,11 @@ def fit(
     rounds: int = 2,
     smoothing: float = 0.1,
 ) -> Model:
-    """Fit on about ``sample`` labelled documents per language (all, if fewer); null labels are left out.
+    """Fit on about ``sample`` distinct labelled texts per language (all, if fewer); null labels are left out.
 
-    ``sample`` bounds the cost of the fit; the share of each language counts all rows. The
-    sample is by hash of ``key`` (by default the text), so reruns agree. Without labelled
+    ``sample`` bounds the cost of the fit, however often a text is repeated: copies count once.
+    The share of each language counts all rows. The sample is by hash of ``key`` (by default the
+    text), so reruns agree. Without labelled
     text the model knows no language and every prediction is undecided.
     """
     path = path or default_path("piece_bpe_32k.model")
@@ -189,9 +190,19 @@ def fit(
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros(0), [], np.zeros((2, 0)))
-    shares = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / counts[k]))])
-    at = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key if key is not None else F.col(f"`{text_col}`")), 11) / F.lit(2.0**53)
-    chosen = known.where(at < shares[lang]).select(lang.alias("lang"), text_of(text_col).alias("text"))
+    unit = key if key is not None else F.col(f"`{text_col}`")
+    distinct = known.select(lang.alias("l"), F.xxhash64(unit).alias("unit")).distinct().groupBy("l")
+    sizes = {r["l"]: r["n"] for r in distinct.agg(F.count("*").alias("n")).collect()}
+    shares = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))])
+    at = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), unit), 11) / F.lit(2.0**53)
+    # copies of a chosen text meet under its hash, one for each task that has some
+    chosen = (
+        known.where(at < shares[lang])
+        .select(lang.alias("lang"), text_of(text_col).alias("text"))
+        .groupBy("lang", F.xxhash64("text").alias("hash"))
+        .agg(F.min("text").alias("text"))
+        .select("lang", "text")
+    )
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
