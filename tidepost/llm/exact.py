@@ -1,4 +1,4 @@
-"""Exact duplicates by an extendible-hash index kept as files in the shared folder.
+"""Exact duplicates by a hash aggregate, with an extendible-hash index kept as files in the shared folder.
 
 DataFrame functions only. A text's key is a 64-bit hash of its normalised form; the
 index holds one entry per key and link (a second hash), not one per row, so a text that
@@ -6,6 +6,9 @@ a third of all rows share is one entry. The directory doubles until every bucket
 most ``capacity`` entries; buckets that were not overfull keep their smaller depth.
 Owner tasks each take a range of buckets and write their part of the index, sorted.
 
+The grouping itself is a hash aggregate over the entries, which combines copies before the
+shuffle; the index only names the entries to compare, and its buckets decide no row.
+
 Rows that share an entry are compared byte by byte with the entry's head text. Those that
 differ (a true collision) chain behind the entry, told apart by their whole text.
 """
