@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
 
 
 def documents():

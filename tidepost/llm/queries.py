@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepost.llm import chat, exact, language, licenses, mixing, near, neighbours, packing, tokens, urls
+from tidepost.llm import centroids, chat, exact, language, licenses, middle, mixing, near, neighbours, packing, substrings, tokens, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -136,3 +136,87 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id, n)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.exact_groups(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _cluster_sql(k: int, rounds: int) -> str:
+    """The rounds written out one after the other; sums are exact whole numbers."""
+    steps = [
+        f"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS cluster, v AS c
+  FROM (SELECT sha256('2:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT {k}))"""
+    ]
+    near = """
+a{i} AS MATERIALIZED (SELECT n, arg_min(cluster, d * 1000 + cluster) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM
+  (SELECT n, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i}) GROUP BY n)"""
+    move = """
+s{i} AS MATERIALIZED (SELECT cluster, pos, sum(x) AS s, count(*) AS m FROM
+  (SELECT cluster, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM a{i} JOIN v USING (n)) GROUP BY cluster, pos),
+c{j} AS MATERIALIZED (SELECT cluster, coalesce(m.c, old.c) AS c FROM c{i} old LEFT JOIN
+  (SELECT cluster, list(CAST(CASE WHEN s < 0 THEN -((m - 1 - s) // m) ELSE s // m END AS BIGINT) ORDER BY pos) AS c FROM s{i} GROUP BY cluster) m USING (cluster))"""
+    for i in range(rounds):
+        steps += [near.format(i=i), move.format(i=i, j=i + 1)]
+    steps.append(near.format(i=rounds))
+    return ",".join(steps) + f"""
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (n) JOIN c{rounds} USING (cluster)
+"""
+
+
+@register("op11_centroid_clustering", _cluster_sql(40, 5))
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.centroid_clusters(table(spark, folder, "embeddings"))
+    digest = centroids.centroid_digest(F.col("centroid")).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+MIDDLE_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+d AS (SELECT *, {digits} FROM h),
+k AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+""".replace(
+    "{digits}",
+    ", ".join(
+        "CAST(list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', x[{0} + i]) - 1) * CAST(power(16, 8 - i) AS BIGINT)))"
+        " AS BIGINT) AS h{1}".format(8 * i, i + 1)
+        for i in range(4)
+    ),
+)
+
+
+@register("op12_fill_in_middle", MIDDLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = middle.fill_in_middle(table(spark, folder, "documents"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS n, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
+p AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+s AS (SELECT n, pos, word, CASE WHEN count(*) OVER f = 35 THEN string_agg(word, ' ') OVER f END AS win
+  FROM p WINDOW f AS (PARTITION BY n ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT n, pos, word, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 THEN 1 ELSE 0 END AS again FROM s),
+c AS (SELECT n, pos, word, max(again) OVER (PARTITION BY n ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT n, sum(gone) AS gone, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (n)
+"""
+
+
+@register("op13_substring_dedup", SUBSTRING_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.repeated_passages(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
