@@ -7,7 +7,7 @@ from conftest import SMALL
 import __spark_entry__ as contract
 from tidepost.catalog import ORACLES, QUERIES
 
-ROWS_ONLY = {"lda_topics"}
+ROWS_ONLY = set()
 EMPTY_WHEN_SMALL = {"cancelled_jobs"}
 
 

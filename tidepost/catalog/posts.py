@@ -18,6 +18,7 @@ from tidepost.catalog.registry import (
     sql_strip,
     table,
 )
+from tidepost.catalog.topic_queries import TOKENS
 from tidepost.functions import fixed_values as V
 from tidepost.functions import predicates as P
 from tidepost.functions import text as X
@@ -596,13 +597,6 @@ def model_sentiment(spark, folder):
     )
 
 
-TOKENS = (
-    f"[w FOR w IN string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), "
-    f"'http[^{SPACE}]+', '', 'g'), '@[{WORD}]+', '', 'g'), '#[{WORD}]+', '', 'g'), '[^{WORD}{SPACE}]', ' ', 'g'), "
-    f"'[{SPACE}]+') IF length(w) > 2 AND NOT list_contains([{sql_list(V.TOPIC_STOPWORDS)}], w)]"
-)
-
-
 @register(
     "frequency_topics",
     f"""WITH counts AS ({sql_term_counts("documents", "doc_id", TOKENS)}),
@@ -615,12 +609,6 @@ def frequency_topics(spark, folder):
     return found.select("id", F.array_join("words", " ").alias("words"), "weight")
 
 
-@register("lda_topics")
-def lda_topics(spark, folder):
-    found = topics.lda_topics(documents(spark, folder), "doc_id")
-    return found.select("id", F.array_join("words", " ").alias("words"), "weight")
-
-
 # --- saved pages -----------------------------------------------------------------
 
 @register(

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.functions.fixed_values import TOPIC_STOPWORDS
 from tidepost.functions.text import text_column, topic_tokens
+from tidepost.operators.lda import variational_topics
 from tidepost.operators.ranking import explode_terms, term_counts, top_terms, with_rank
+from tidepost.operators.vectors import term_statistics, tfidf_vectors, vocabulary as kept_terms
+from tidepost.session import through_table
 
 TOPIC_SCHEMA = "id int, words array<string>, weight double"
 
@@ -61,56 +62,31 @@ def lda_topics(
     iterations: int = 10,
     seed: int = 42,
     stopwords: Sequence[str] = TOPIC_STOPWORDS,
+    steps: int = 100,
+    tolerance: float = 1e-3,
 ) -> DataFrame:
     """LDA topics ``id, words, weight``; frequency topics where LDA has no ground.
 
-    Weights are the terms' unnormalised topic values, as fitted. Only the
-    vocabulary and its ``vocabulary x topics`` matrix reach the driver.
+    Batch variational Bayes over TF-IDF vectors of unit length (see ``operators.lda``). Weights are
+    the sums of the words' unnormalised topic values, words equal in value are in reverse
+    alphabetical order. The result depends on the rows only, not on their partitions. The
+    vectors are stored once below ``spark.checkpoint.dir``; only the vocabulary and its
+    ``topics x vocabulary`` table reach the driver.
     """
-
-    def by_frequency() -> DataFrame:
+    docs = topic_documents(posts, ord, stopwords)
+    statistics = through_table(term_statistics(docs), "topic-terms")
+    terms, idf, count = kept_terms(statistics, vocabulary, min_docs, max_share)
+    if count < topics or not terms:
         return frequency_topics(posts, ord, topics, words_per_topic, stopwords)
-
-    spark = posts.sparkSession
-    docs = topic_documents(posts, ord, stopwords).persist()
-    try:
-        count = docs.count()
-        if count < topics or max_share * count < min_docs:
-            return by_frequency()
-        counter = CountVectorizer(
-            inputCol="tokens",
-            outputCol="tf",
-            vocabSize=vocabulary,
-            minDF=float(min_docs),
-            maxDF=max_share,
-        ).fit(docs)
-        if not counter.vocabulary:
-            return by_frequency()
-        weighted = counter.transform(docs)
-        # smoothed inverse document frequency: the fitted value plus one
-        idf = IDF(inputCol="tf", outputCol="unused").fit(weighted).idf.toArray() + 1.0
-        scaled = ElementwiseProduct(
-            scalingVec=Vectors.dense(idf.tolist()), inputCol="tf", outputCol="tfidf"
-        ).transform(weighted)
-        normal = Normalizer(inputCol="tfidf", outputCol="features", p=2.0).transform(scaled)
-        # every iteration reads the vectors; they are far smaller than the tokens
-        features = normal.select("features").persist()
-        try:
-            # expectation maximisation reads every text in every iteration; the online
-            # optimizer would only sample them
-            lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="features", optimizer="em")
-            matrix = lda.fit(features).topicsMatrix().toArray()
-        finally:
-            features.unpersist()
-        return _described(spark, counter.vocabulary, matrix, words_per_topic)
-    finally:
-        docs.unpersist()
+    vectors = through_table(tfidf_vectors(docs, terms, idf), "topic-vectors")
+    found = variational_topics(vectors, terms, topics, iterations, steps, tolerance, seed)
+    return _described(posts.sparkSession, terms, found, words_per_topic)
 
 
-def _described(spark, vocabulary: Sequence[str], matrix, words_per_topic: int) -> DataFrame:
+def _described(spark, terms: Sequence[str], found: np.ndarray, words_per_topic: int) -> DataFrame:
     rows = []
-    for topic in range(matrix.shape[1]):
-        best = matrix[:, topic].argsort()[::-1][:words_per_topic]
-        weight = round(float(matrix[best, topic].sum()), 2)
-        rows.append((topic + 1, [vocabulary[i] for i in best], weight))
+    for topic, values in enumerate(found):
+        best = np.argsort(values, kind="stable")[::-1][:words_per_topic]
+        weight = round(float(values[best].sum()), 2)
+        rows.append((topic + 1, [terms[i] for i in best], weight))
     return spark.createDataFrame(rows, TOPIC_SCHEMA)
