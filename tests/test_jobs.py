@@ -11,7 +11,7 @@ from tidepost.operators.markup import read_page
 from tidepost.plans import jobs
 from tidepost.schemas import JOB_UPDATE, POST_JSON
 from tidepost.sources import ledger, readers, retention, writers
-from tidepost.streaming import operators
+from tidepost.streaming import operators, timed
 from tidepost.streaming.intake import Intake, landed, run_to_table
 from tidepost.streaming.progress import Heartbeat
 
@@ -298,15 +298,14 @@ def test_stream_dedup_over_batches(spark, tmp_path, schema):
     assert sorted(r.text for r in rows.collect()) == ["other", "same"]
 
 
-def test_stall_gaps_carry_state_over_batches(spark, tmp_path, schema):
+def test_stalls_carry_state_over_runs(spark, tmp_path, schema):
     found = []
     for part in ([post(0, "a"), post(1, "a"), post(2, "b")], [post(5, "a")], [post(9, "a"), post(60, "b")]):
         land(spark, tmp_path / "in", [part])
         counts = operators.loop_counts(landed(spark, str(tmp_path / "in"), schema), "url", "at", 60)
-        run_to_table(counts, str(tmp_path / "loops"), str(tmp_path / "s1"))
-        loops = landed(spark, str(tmp_path / "loops"), counts.schema)
-        rows = run_to_table(operators.stall_gaps(loops, 60), str(tmp_path / "out"), str(tmp_path / "s2"))
-        found = rows.where("job = 'a'").orderBy("loop").collect()
+        with timed.timers(spark):
+            rows = run_to_table(timed.silences(counts, 60), str(tmp_path / "out"), str(tmp_path / "state"))
+        found = rows.where("job = 'a' AND new_rows > 0").orderBy("loop").collect()
     assert [r.stalled for r in found] == [0, 0, 3, 3]
 
 

@@ -9,7 +9,7 @@ from tidepost.catalog.posts import FIRST_BY_URL
 from tidepost.catalog.registry import POSTS, as_posts, posts, register, table
 from tidepost.session import scratch_path
 from tidepost.streaming.intake import Intake, landed, run_to_table
-from tidepost.streaming import operators
+from tidepost.streaming import operators, timed
 
 
 def _stream(spark, folder, name):
@@ -58,11 +58,45 @@ def stream_rate(spark, folder):
     FROM loops QUALIFY loop + 3600 <= (SELECT epoch(max(ts)) FROM events)""",
 )
 def stream_stalls(spark, folder):
+    return _silences(spark, folder).where("new_rows > 0")
+
+
+# loops without a row after which a job counts as ended
+GIVE_UP = 15
+
+
+def _silences(spark, folder):
     events = _stream(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     counts = operators.loop_counts(events, "event_type", "ts", 3600)
-    loops = scratch_path(spark, "loops")
-    run_to_table(counts, loops, scratch_path(spark, "loops-state"))
-    return _run(spark, operators.stall_gaps(landed(spark, loops, counts.schema), 3600), "stalls")
+    with timed.timers(spark):
+        return _run(spark, timed.silences(counts, 3600, GIVE_UP), "stalls")
+
+
+@register(
+    "stream_silences",
+    f"""WITH busy AS (SELECT event_type AS job, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS loop, count(*) AS new_rows
+        FROM events GROUP BY 1, 2 HAVING loop + 3600 <= (SELECT epoch(max(ts)) FROM events)),
+    next AS (SELECT *, lead(loop) OVER (PARTITION BY job ORDER BY loop) AS after, lag(loop) OVER (PARTITION BY job ORDER BY loop) AS before FROM busy),
+    quiet AS (SELECT job, loop, after, unnest(range(1, {GIVE_UP + 1})) AS stalled FROM next)
+    SELECT job, loop, new_rows, CAST(coalesce((loop - before) // 3600 - 1, 0) AS BIGINT) AS stalled FROM next
+    UNION ALL SELECT job, loop + stalled * 3600, 0, stalled FROM quiet
+    WHERE (after IS NULL AND loop + (stalled + 1) * 3600 <= (SELECT epoch(max(ts)) FROM events)) OR loop + stalled * 3600 < after""",
+)
+def stream_silences(spark, folder):
+    return _silences(spark, folder)
+
+
+@register(
+    "stream_first_copies",
+    """SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id // 240 < (SELECT max(doc_id) // 240 FROM documents)
+    QUALIFY row_number() OVER (PARTITION BY doc_id // 240, text[1:50], length(text) ORDER BY doc_id) = 1""",
+)
+def stream_first_copies(spark, folder):
+    """Slices of ten days; the last one is still open when the stream has been read."""
+    at = F.timestamp_seconds(F.lit(0) + F.col("doc_id") * 3600)
+    rows = _stream(spark, folder, "documents").select("doc_id", "text", at.alias("at"))
+    first = operators.first_copies(rows, "at", "0 seconds", "10 days", "doc_id")
+    return _run(spark, first, "first-copies").select("doc_id", "text")
 
 
 @register(

@@ -1,4 +1,4 @@
-"""Stateful operators over event time: near-copy dedup, rate, stalls.
+"""Stateful operators over event time: near-copy dedup, rate, loops of a job.
 
 Rows later than the watermark are dropped by these operators; where nothing may
 be lost, use :class:`tidepost.streaming.intake.Intake`.
@@ -6,12 +6,8 @@ be lost, use :class:`tidepost.streaming.intake.Intake`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidepost.functions.dates import rate_color, rate_level, rate_percent
 from tidepost.functions.fixed_values import RATE_DANGER, RATE_LIMIT, RATE_WARNING
@@ -47,6 +43,26 @@ def first_by_prefix(
     )
 
 
+def first_copies(
+    posts: DataFrame, ts: str, delay: str, horizon: str, order: str, text: str = "text", characters: int = 50
+) -> DataFrame:
+    """The first post of every (first characters, length) in each slice of ``horizon`` of time, columns unchanged.
+
+    First by ``ts``, then by ``order``, whatever the order of arrival within ``delay``; given out once
+    the watermark has passed the slice, when its state goes. So the state is bounded by the
+    keys of one slice and the delay, and the result is that of the batch form, which is the
+    same call on a table. Copies combine before the shuffle. Null texts and times are dropped.
+    """
+    keyed = posts.where(F.col(text).isNotNull() & F.col(ts).isNotNull())
+    first = F.min_by(F.struct(*[F.col(c) for c in posts.columns]), F.struct(ts, order))
+    return (
+        keyed.withWatermark(ts, delay)
+        .groupBy(F.window(ts, horizon), F.substring(text, 1, characters).alias("prefix"), F.length(text).alias("size"))
+        .agg(first.alias("post"))
+        .select("post.*")
+    )
+
+
 def rolling_rate(
     requests: DataFrame,
     ts: str = "ts",
@@ -84,37 +100,3 @@ def loop_counts(
         .agg(F.count("*").alias("new_rows"))
         .select("job", F.unix_seconds("w.start").alias("loop"), "new_rows")
     )
-
-
-def stall_gaps(loops: DataFrame, loop_seconds: int = 60) -> DataFrame:
-    """Add ``stalled``: loops that passed without a row before this one.
-
-    Reads the landed output of :func:`loop_counts` as a second stream, so the
-    stateful step sees one row per loop however busy a job is. That stream must
-    set no limit on files per trigger: loops are in order from one batch of the
-    first stream to the next, but not over the files of one batch.
-    """
-    job_type = loops.schema["job"].dataType.simpleString()
-
-    def gaps(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        frame = pd.concat(list(batches)).sort_values("loop")
-        previous = frame["loop"].shift(1)
-        if last is not None:
-            previous.iloc[0] = last
-        stalled = ((frame["loop"] - previous) // loop_seconds - 1).fillna(0).astype("int64")
-        state.update((int(frame["loop"].iloc[-1]),))
-        yield frame[["loop", "new_rows"]].assign(job=key[0], stalled=stalled)[
-            ["job", "loop", "new_rows", "stalled"]
-        ]
-
-    return loops.groupBy("job").applyInPandasWithState(
-        gaps,
-        f"job {job_type}, loop bigint, new_rows bigint, stalled bigint",
-        "last bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
