@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidepost.catalog.posts import KEYWORDS, sql_expand
 from tidepost.catalog.registry import POSTS, SPAN, posts, register, span_of, sql_latin, sql_long_enough
 from tidepost.catalog.state import SEARCH_ORDERED, _search_rows
@@ -201,3 +203,45 @@ def expand_job_spanned(spark, folder):
     found = jobs.expand_job(rows, KEYWORDS, start, end, asof=end, count=0, lang="en", unlimited=True)
     filled = fill_to_target([found, _search_rows(spark, folder)], None, ["work_idx", "post_id"])
     return filled.selectExpr("CAST(work_idx AS BIGINT) AS work_idx", "post_id", "url")
+
+
+@register(
+    "standard_job_odd_dates",
+    f"""WITH {POSTS}, {SPAN},
+    found AS (SELECT posts.*, date_diff('day', s, CAST(ts AS DATE)) // 7 AS chunk_idx FROM posts, span
+      WHERE NOT is_reply AND ts >= s AND ts < e
+      AND (contains(lower(text), 'korupsi') OR contains(lower(text), 'bagus'))),
+    firsts AS (SELECT * FROM found
+      QUALIFY row_number() OVER (PARTITION BY chunk_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM firsts
+      WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')} AND {sql_long_enough('text')})
+    SELECT post_id, url, text FROM good WHERE coalesce(url, '') <> ''
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY post_id) = 1""",
+)
+def standard_job_odd_dates(spark, folder):
+    """Dates without leading zeros, as people type them."""
+    rows = posts(spark, folder)
+    start, end = ("-".join(str(int(part)) for part in day.split("-")) for day in span_of(rows))
+    return jobs.standard_job(rows, ["korupsi", "bagus"], start, end, None).select("post_id", "url", "text")
+
+
+@register(
+    "expand_job_undated",
+    f"""WITH {POSTS}, source_posts AS (SELECT * REPLACE (CASE WHEN post_id % 13 > 0 THEN ts END AS ts) FROM posts WHERE NOT is_reply),
+    {sql_expand("source_posts", KEYWORDS)},
+    words AS (SELECT variation_idx, [lower(w) FOR w IN string_split(variation, ' ')
+        IF length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$')] AS words FROM expanded),
+    matches AS (SELECT p.*, variation_idx AS work_idx FROM source_posts p, words
+        WHERE len(words) = 0 OR len([w FOR w IN words IF contains(lower(text), w)]) > 0),
+    sessions AS (SELECT * FROM matches
+        QUALIFY row_number() OVER (PARTITION BY work_idx, text[1:50], length(text) ORDER BY post_id) = 1),
+    good AS (SELECT * FROM sessions WHERE lower(trim(username)) <> 'grok' AND {sql_latin('text')}
+        AND {sql_long_enough('text')} AND coalesce(url, '') <> '')
+    SELECT CAST(work_idx AS BIGINT) AS work_idx, post_id, url FROM good
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY work_idx, post_id) = 1""",
+)
+def expand_job_undated(spark, folder):
+    """Dates that can't be read; some posts have no time. Every post is looked at."""
+    rows = posts(spark, folder).withColumn("ts", F.when(F.col("post_id") % 13 > 0, F.col("ts")))
+    found = jobs.expand_job(rows, KEYWORDS, "last spring", "now", asof=END, count=0, unlimited=True)
+    return found.selectExpr("CAST(work_idx AS BIGINT) AS work_idx", "post_id", "url")

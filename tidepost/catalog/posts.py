@@ -562,6 +562,28 @@ def large_lexicon(spark, folder):
     ).select("doc_id", "sentiment", "sentiment_score")
 
 
+@register(
+    "lexicon_table",
+    f"""WITH lexicon AS (SELECT DISTINCT unnest(regexp_extract_all(lower(html), '[a-z]{{4,}}')) AS term FROM pages),
+    words AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM documents),
+    parts AS (SELECT word, i, unnest(range(4, length(word) - i + 2)) AS n FROM
+      (SELECT word, unnest(range(1, length(word) - 2)) AS i FROM (SELECT DISTINCT word FROM words))),
+    within AS MATERIALIZED (SELECT DISTINCT word, term FROM (SELECT word, substr(word, i, n) AS term FROM parts WHERE n <= 40) JOIN lexicon USING (term)),
+    hits AS (SELECT doc_id, count(DISTINCT term) FILTER (WHERE term[1] IN ('a','e','i','o','u')) AS p,
+      count(DISTINCT term) FILTER (WHERE term[1] NOT IN ('a','e','i','o','u')) AS n
+      FROM words JOIN within USING (word) GROUP BY doc_id),
+    counted AS (SELECT doc_id, coalesce(p, 0) AS p, coalesce(n, 0) AS n FROM documents LEFT JOIN hits USING (doc_id))
+    SELECT doc_id, CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS sentiment,
+      CASE WHEN p = n THEN 0.5::DOUBLE ELSE round_even(greatest(p, n)::DOUBLE / (p + n), 3)::DOUBLE END AS sentiment_score FROM counted""",
+)
+def lexicon_table(spark, folder):
+    """Every Latin word of the saved pages is a term; its first letter is its side."""
+    word = F.explode(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")
+    lexicon = table(spark, folder, "pages").select(word).distinct().where(F.length("term") <= 40)
+    lexicon = lexicon.withColumn("positive", F.substring("term", 1, 1).isin(*"aeiou"))
+    return sentiment.with_lexicon_table(documents(spark, folder), lexicon).select("doc_id", "sentiment", "sentiment_score")
+
+
 def _load_letter_model():
     """Stand-in for a caller's model: the share of ``e`` among ``a`` and ``e``."""
 

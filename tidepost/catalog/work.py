@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepost.catalog.posts import KEYWORDS, sql_expand
-from tidepost.catalog.registry import POSTS, posts, register, table
+from tidepost.catalog.registry import POSTS, posts, register, span_of, table
 from tidepost.functions import dates as D
 from tidepost.operators import limits, rates
 from tidepost.operators.discovery import expand_keywords
@@ -184,12 +184,11 @@ VARIATIONS = 60
 def _items(spark, folder):
     """Work items of the expanded keywords over the whole time span of the posts."""
     rows = posts(spark, folder)
-    span = rows.agg(F.to_date(F.min("ts")).alias("s"), F.date_add(F.to_date(F.max("ts")), 1).alias("e"))
-    chunks = span.select(D.adaptive_chunks(F.col("s"), F.col("e"))).scalar()
+    start, end = (F.lit(d).cast("date") for d in span_of(rows))  # two dates, read once
     variations = through_table(
         expand_keywords(rows, "post_id", KEYWORDS, limit=VARIATIONS), "variations"
     )
-    return rows, work.work_items(variations, chunks)
+    return rows, through_table(work.work_items(variations, D.adaptive_chunks(start, end)), "work-items")
 
 
 @register(

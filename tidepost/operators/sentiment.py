@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidepost.functions.charclass import WORD
 from tidepost.functions.fixed_values import NEGATIVE_TERMS, POSITIVE_TERMS
 from tidepost.functions.text import model_input, model_label, strip, text_column
+from tidepost.operators.grams import with_found_terms
 
 def term_hits(text: Column, terms: Sequence[str], whole_word: bool = False) -> Column:
     """How many distinct terms occur in the text, in any case."""
@@ -61,6 +62,21 @@ def with_lexicon_sentiment(
     return counted.withColumns({"sentiment": label, "sentiment_score": score}).drop(*names)
 
 
+def with_lexicon_table(posts: DataFrame, lexicon: DataFrame, text: Column | None = None, **sizes: int) -> DataFrame:
+    """Add ``sentiment`` and ``sentiment_score`` from a lexicon of any size, a table ``term, positive``.
+
+    Terms count once a text, in any case and inside words too; a term listed on both sides counts
+    for both. Blank or null text is neutral 0.5. ``sizes`` goes to ``with_found_terms``.
+    """
+    body = F.coalesce(text if text is not None else text_column(posts.columns), F.lit(""))
+    names = ("__positive", "__negative")
+    counted = posts
+    for name, side in zip(names, (F.col("positive"), ~F.col("positive"))):
+        counted = with_found_terms(counted, body, lexicon.where(side), name, **sizes)
+    label, score = score_hits(*[F.size(n) for n in names])
+    return counted.withColumns({"sentiment": label, "sentiment_score": score}).drop(*names)
+
+
 Model = Callable[[list[str]], Sequence[tuple[str, float]]]
 
 

@@ -6,10 +6,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tidepost.functions.dates import planned_chunks
 from tidepost.functions.predicates import (
@@ -37,6 +38,17 @@ VARIATIONS = 60
 TRAILING_DAYS = 120
 
 
+#: Columns of a row's key while a job runs.
+ROW = ["__row_1", "__row_2"]
+
+
+def row_key(rows: DataFrame) -> list[Column]:
+    """Two hashes over all columns and which of them are null: equal for equal rows only."""
+    parts = [F.to_json(F.col(c)) if isinstance(f.dataType, MapType) else F.col(c) for c, f in zip(rows.columns, rows.schema)]
+    parts += [F.col(c).isNull() for c in rows.columns]
+    return [F.xxhash64(F.lit(salt), *parts) for salt in (0, 1)]
+
+
 def originals(posts: DataFrame, lang: str | None = None) -> DataFrame:
     """Posts that are no replies, in one language if given."""
     kept = posts.where(~F.coalesce("is_reply", F.lit(False)))
@@ -92,7 +104,9 @@ def expand_job(
     ``unlimited`` (or ``count`` 0) means no cap and no top-up. ``sample`` is the
     discovery input; all original posts if not given. ``limit`` is the most variations.
     Dates that cannot be read make one chunk without a range, which matches every
-    day. Top-up rows carry a ``post_id`` that orders them. ``post_id`` names one post.
+    post. Top-up rows carry a ``post_id`` that orders them. Posts are told apart by all their
+    columns, so null and repeated ids lose and multiply none; among posts alike in the
+    order, a hash of the row decides.
     """
     source = originals(posts, lang)
     discovery = sample if sample is not None else source
@@ -108,26 +122,32 @@ def expand_job(
     # Each post is judged once; matching, copies and the cap then run on narrow rows.
     judged = source.withColumns(
         {
+            **dict(zip(ROW, row_key(source))),
             "__start": F.substring("text", 1, 50),
             "__size": F.length("text"),
             "__passes": passes_intake(posts.columns),
         }
     )
+    order = ["post_id", *ROW]
     matches = match_posts(
         judged,
         items,
         undated=bool(plan.first()["undated"]),
-        keep=["post_id", "url", "__start", "__size", "__passes"],
+        keep=[*order, "url", "__start", "__size", "__passes"],
     )
     copies = [F.col("work_idx"), F.col("__start"), F.col("__size")]
-    sessions = keep_first(matches.where(F.col("__size").isNotNull()), copies, ["post_id"])
-    firsts = first_matches(sessions.where("__passes"), ["post_id"]).select(
-        "post_id", "work_idx", "variation_idx", "chunk_idx"
+    sessions = keep_first(matches.where(F.col("__size").isNotNull()), copies, order)
+    firsts = first_matches(sessions.where("__passes"), order).select(
+        *order, "work_idx", "variation_idx", "chunk_idx"
     )
     if not unlimited and count:
-        firsts = first_rows(firsts, ["work_idx", "post_id"], count)
-    found = source.join(firsts, "post_id").select(
-        *source.columns, "work_idx", "variation_idx", "chunk_idx"
+        firsts = first_rows(firsts, ["work_idx", *order], count)
+    # wholly equal rows share a URL, of which one match is left: one of them comes back
+    found = (
+        source.withColumns(dict(zip(ROW, row_key(source))))
+        .join(firsts.drop("post_id"), ROW)
+        .dropDuplicates(ROW)
+        .select(*source.columns, "work_idx", "variation_idx", "chunk_idx")
     )
     if unlimited or not count or not top_up:
         return found
@@ -145,18 +165,21 @@ def standard_job(
 ) -> DataFrame:
     """One search; a range over a week is read in weekly chunks with equal quotas.
 
-    Without both dates the whole table is one search. ``count`` None means no cap and no
-    top-up, and quotas only if ``quota`` gives the rows of a chunk. The top-up of this job keeps duplicates, the chunks do not.
+    Without both dates, or with one that can't be read, the whole table is one search. ``count``
+    None means no cap and no top-up, and quotas only if ``quota`` gives the rows of a chunk: without either, chunks
+    bound only where near-copies are looked for. The top-up of this job keeps duplicates, the chunks do not.
     """
     dated = bool(start and end)
-    first = F.lit(start).cast("date") if dated else None
-    last = F.lit(end).cast("date") if dated else None
-    found = search(posts, keywords, first, last)
-    span = _days(start, end) if dated else 0
+    # dates as the plan reads them; a range that can't be read is none
+    first, last = _day(start) if dated else None, _day(end) if dated else None
+    dated = first is not None and last is not None
+    begin, stop = (F.lit(first), F.lit(last)) if dated else (None, None)
+    found = search(posts, keywords, begin, stop)
+    span = (last - first).days if dated else 0
     if span > 7:
         # each chunk is a collection session of its own, with its own memory of near-copies
         n_chunks = -(-span // 7)
-        chunk = F.floor(F.datediff(F.to_date("ts"), first) / 7).cast("int")
+        chunk = F.floor(F.datediff(F.to_date("ts"), begin) / 7).cast("int")
         chunked = readable(found.withColumn("chunk_idx", chunk), session=["chunk_idx"])
         if quota is None and count is not None:
             quota = count // n_chunks
@@ -194,5 +217,9 @@ def topics_of_table(
     return lda_topics(rows.where(F.coalesce(body, F.lit("")) != ""), ord, topics, words_per_topic)
 
 
-def _days(start: str, end: str) -> int:
-    return (date.fromisoformat(end) - date.fromisoformat(start)).days
+def _day(text: str) -> date | None:
+    """The day of a text like 2024-1-31 (with or without leading zeros); None if it is none."""
+    try:
+        return datetime.strptime(text.strip(), "%Y-%m-%d").date()
+    except ValueError:
+        return None

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidepost.functions.dates import planned_quota, quota_per_chunk, remaining_quota
 from tidepost.functions.text import filter_words
 from tidepost.operators.dedup import keep_first
+from tidepost.operators.grams import with_found_terms
+
+NO_DAY = -(1 << 31)
 
 
 def work_items(variations: DataFrame, chunks: Column) -> DataFrame:
@@ -55,45 +58,42 @@ def match_posts(
     """Posts each item asks for: in its date range, with one of its words.
 
     ``posts`` must not already hold the item columns. Each distinct word of the plan is
-    looked up once per post, before any join. Items then reach the posts as one
-    array per day of their range, in an equi-join on the day, and are tested against
+    looked up once per post, before any join (see ``operators.grams``). Items then reach the posts
+    as one array per day of their range, in an equi-join on the day, and are tested against
     the words found. ``keep`` names the columns of ``posts`` that the result holds
     (by default all); without the text among them, no text is ever shuffled.
 
     Spark broadcasts the item table if it is small enough by its size. Else both sides are
     shuffled by day and salt, so a busy day is spread over ``salts`` tasks. Items whose
-    dates cannot be read match nothing, or with ``undated`` every day of the posts.
+    dates cannot be read match nothing, or with ``undated`` every post, those without a time too.
     """
     words = F.array_distinct(F.transform(filter_words(F.col("variation")), F.lower))
     first, last = F.col("chunk_start").try_cast("date"), F.col("chunk_end").try_cast("date")
+    # posts without a time stand on a day of their own, which no dated item reaches
+    day = F.coalesce(F.unix_date(F.to_date(ts)), F.lit(NO_DAY))
     item = F.struct("work_idx", "variation_idx", "chunk_idx", "words").alias("item")
     worded = items.withColumn("words", words)
     dated = worded.where(first < last).select(
-        F.explode(F.sequence(first, F.date_sub(last, 1))).alias("__day"), item
+        F.explode(F.sequence(F.unix_date(first), F.unix_date(last) - 1)).alias("__day"), item
     )
     if undated:
         # items without dates, as one array, on each of the days on which there are posts
         loose = worded.where(first.isNull() | last.isNull()).agg(F.collect_list(item)).scalar()
-        every = posts.select(F.to_date(ts).alias("__day")).distinct()
+        every = posts.select(day.alias("__day")).distinct()
         dated = dated.unionByName(every.select("__day", F.explode(loose).alias("item")))
     by_day = (
         dated.groupBy("__day")
         .agg(F.collect_list("item").alias("__items"))
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    # the plan's words, a few per variation
-    known = worded.agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("w")).scalar()
     kept = list(keep) if keep is not None else posts.columns
-    # lowered as a lambda's argument, so that it is not worked out again for every word
-    found = F.transform(
-        F.array(F.lower(text)), lambda t: F.filter("__known", lambda w: F.contains(t, w))
-    )
-    looked_up = posts.withColumn("__known", known).select(
+    known = worded.select(F.explode("words").alias("term"))
+    looked_up = with_found_terms(posts, F.col(text), known, "__found").select(
         *kept,
-        F.to_date(ts).alias("__day"),
+        day.alias("__day"),
         # the same for a repeated task, and spread over any one day or text
         F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"),
-        F.element_at(found, 1).alias("__found"),
+        "__found",
     )
     # an item without words keeps every post of its range
     wanted = F.filter(
