@@ -20,7 +20,9 @@ NUMBERS = "0-9²³¹¼-¾"
 COMMON = re.compile("[\t-\r\x20-\x7e¡-įı-ɏ‐-‧]*", re.ASCII)
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_END = "</w>"
-MEMO = 400_000
+#: Bounds of the memo of words: bytes in all, and letters of a word that is held beyond its run.
+MEMO_BYTES = 32 << 20
+MEMO_KEY = 64
 
 
 def default_path(name: str) -> str:
@@ -97,6 +99,7 @@ class WordIds:
         self.exact.no_truncation()
         self.exact.no_padding()
         self.memo: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _learn(self, words: list[str]) -> None:
         """All new words in one call; their ids are parted where a piece ends."""
@@ -118,6 +121,7 @@ class WordIds:
             self.memo.update(zip(common, [data[a:b] for a, b in zip(stops, stops[1:])]))
         else:
             self.memo.update((w, b"") for w in common)
+        self.bytes += sum(map(len, words)) + 220 * len(words)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
@@ -126,9 +130,14 @@ class WordIds:
         """
         words = [t.lower().split() if COMMON.fullmatch(t) else re.split("[\t-\r ]+", t) for t in texts]
         memo = self.memo
-        if len(memo) > MEMO:
+        if self.bytes > MEMO_BYTES:
             memo.clear()
-        new = set().union(*words).difference(memo)
+            self.bytes = 0
+        new = list(set().union(*words).difference(memo))
         if new:
-            self._learn(list(new))
-        return [b"".join([memo[w] for w in own]) for own in words]
+            self._learn(new)
+        found = [b"".join([memo[w] for w in own]) for own in words]
+        for word in new:
+            if len(word) > MEMO_KEY:
+                del memo[word]
+        return found

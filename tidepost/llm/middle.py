@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.llm.common import text_of
+from tidepost.llm.common import lean, text_of
 from tidepost.llm.shingles import runs
 from tidepost.llm.wavelet import WaveletMatrix
 
@@ -87,6 +87,7 @@ def with_cuts(docs: DataFrame, name: str, text: Column, draws: tuple[Column, Col
     """``docs`` and a column ``name`` of (n, first, second): units of the text and the two places it is cut at."""
 
     @F.pandas_udf("n long, first long, second long")
+    @lean
     def find(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, one, two in batches:
             drawn = np.stack([one.to_numpy(dtype=np.int64), two.to_numpy(dtype=np.int64)], axis=1).reshape(-1, 2)

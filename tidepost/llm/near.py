@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.llm.common import keep_rows, stored
+from tidepost.llm.common import keep_rows, lean, one_of_each, stored
 from tidepost.llm.components import components
 from tidepost.llm.shingles import mixed, runs, shingle_hashes, word_hashes
 
@@ -126,6 +126,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     id_type = docs.schema[id_col].dataType.simpleString()
     columns = ["doc_id", "text_hash", "d1", "d2", "words", "bands"]
 
+    @lean
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, hashes = batch["doc_id"].to_numpy(dtype=object), batch["text_hash"].to_numpy()
@@ -147,6 +148,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """node, shingles: the multiset as a sorted set of hashes of (shingle, occurrence)."""
 
+    @lean
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nodes = batch["node"].to_numpy()
@@ -168,6 +170,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
 
+    @lean
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = []
@@ -229,13 +232,14 @@ def near_groups(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept.
+    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept; also text_hash and copies.
 
     Two texts are linked if the multisets of their ``width``-word shingles (lower case, words of
     letters and digits) overlap to at least ``least``; classes are what links connect. Texts
     of fewer words are one shingle. Documents without a word (null, empty) are alone, each
-    its own class. One row of each class is kept: its smallest id (of repeated rows, one).
-    A null id sorts last. An empty table gives no rows.
+    its own class. One row of each class is kept: that of its smallest id (null last), where an id
+    repeats the one whose text has the smaller hash, and of wholly repeated rows one.
+    ``copies`` counts the rows with one id and text. An empty table gives no rows.
     """
     signed = stored(signatures(docs, id_col, text_col, width, bands, rows), "near-signatures")
     worded = signed.where("words > 0")
@@ -249,22 +253,29 @@ def near_groups(
     classes = nodes.select("d1", "d2", "node").join(labels, "node", "left").select(
         "d1", "d2", F.coalesce("label", F.col("node")).alias("label")
     )
-    rows_of = stored(worded.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "label"), "near-rows")
-    # Rows that repeat an id in a class are one entry; one of them is kept.
-    entries = rows_of.groupBy("label", "doc_id").agg(F.count("*").alias("copies"))
-    sizes = entries.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min("doc_id").alias("class_id"))
+    rows_of = stored(
+        worded.select("doc_id", "text_hash", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "text_hash", "label"), "near-rows"
+    )
+    # Rows that repeat an id and text in a class are one entry; one of them is kept.
+    entries = rows_of.groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    best = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash"))
+    sizes = entries.groupBy("label").agg(F.sum("copies").alias("class_size"), best.alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     grouped = entries.join(sizes, "label").select(
         "doc_id",
-        "class_id",
+        F.col("best.doc_id").alias("class_id"),
         "class_size",
-        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("first"),
+        stays.alias("first"),
+        "text_hash",
+        "copies",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
+    one = F.lit(1).cast("long")
     alone = signed.where("words = 0").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept")
+        "doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), F.lit(True).alias("kept"), "text_hash", one.alias("copies")
     )
     return grouped.select(
-        "doc_id", "class_id", "class_size", (F.col("first") & (F.col("copy") == 1)).alias("kept")
+        "doc_id", "class_id", "class_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), "text_hash", "copies"
     ).unionByName(alone)
 
 
@@ -318,6 +329,7 @@ def _links_between_classes(rest: DataFrame, labels: DataFrame, sets: DataFrame,
     )
     columns = ["key", "i", "j", "side", "node", "class", "shingles"]
 
+    @lean
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
@@ -348,6 +360,17 @@ def _links_between_classes(rest: DataFrame, labels: DataFrame, sets: DataFrame,
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, columns unchanged. Ids are taken to be unique."""
-    kept = near_groups(docs, id_col, text_col, **options).where("kept").select("doc_id").distinct()
-    return keep_rows(docs, stored(kept, "near-kept"), {"doc_id": F.col(f"`{id_col}`")})
+    """``docs`` with one document of each class, columns unchanged.
+
+    Rows are told apart by id and text, so null and repeated ids are no trouble; of rows
+    alike in both one stays, but those without a word all stay. An empty table stays empty.
+    """
+    found = near_groups(docs, id_col, text_col, **options).where("kept").select("doc_id", "text_hash", "copies").distinct()
+    kept = stored(found, "near-kept")
+    doc_id, text_hash = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    on = {"doc_id": doc_id, "text_hash": text_hash}
+    repeated = kept.where("copies > 1")
+    if repeated.isEmpty():
+        return keep_rows(docs, kept, on)
+    once = one_of_each(keep_rows(docs, repeated, on), [doc_id, text_hash])
+    return keep_rows(docs, kept.where("copies = 1"), on).unionByName(once)

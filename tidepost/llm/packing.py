@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.llm.common import stored
+from tidepost.llm.common import fresh, lean, stored
 from tidepost.llm.encoders import WordIds, default_path
 from tidepost.llm.shingles import runs
 
@@ -50,6 +50,7 @@ def token_pieces(
     id_type = docs.schema[id_col].dataType.simpleString()
     end = struct.pack("<I", END_ID)
 
+    @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = None
         for batch in batches:
@@ -197,6 +198,7 @@ def _pack_round(
         .withColumn("elites", F.array().cast("array<array<int>>"))
     )
 
+    @lean
     def live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             best = []
@@ -248,13 +250,14 @@ def pack(
     length are sequences of their own. Every piece is placed once; within a sequence
     offsets are gapless from 0. Numbers of sequences say nothing. Other columns stay.
     """
-    work = stored(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pack-pieces")
+    key = fresh(pieces, "__uid")
+    work = stored(pieces.withColumn(key, F.monotonically_increasing_id()), "pack-pieces")
     bad = work.where((F.col("length") < 1) | (F.col("length") > capacity) | F.isnull("length"))
     if not bad.isEmpty():
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
-    left = work.where(F.col("length") < capacity).select(F.col("__uid").alias("uid"), "length")
+    left = work.where(F.col("length") < capacity).select(F.col(key).alias("uid"), "length")
     full = work.where(F.col("length") == capacity).select(
-        F.col("__uid").alias("uid"), F.col("__uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        F.col(key).alias("uid"), F.col(key).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     done, number, rows = [full], 1, left.count()
     while rows:
@@ -284,7 +287,7 @@ def pack(
     places = done[0]
     for other in done[1:]:
         places = places.unionByName(other)
-    return work.join(places.withColumnRenamed("uid", "__uid"), "__uid").drop("__uid")
+    return work.join(places.withColumnRenamed("uid", key), key).drop(key)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, **search) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepost.llm.common import lean
 from tidepost.llm.encoders import ByteCounts, default_path
 
 BATCH_BYTES = 1 << 20
@@ -52,6 +53,7 @@ def with_token_counts(
     path = path or default_path("byte_bpe_50k.json")
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
