@@ -6,17 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepost.llm import exact, language, mixing, near, packing
-from tidepost.llm.common import stored
+from tidepost.llm.common import fresh, stored
 
 #: No SQL can state the fitted language model, the near-duplicate classes or the packing.
 ORACLE_SQL = None
 
 
+#: A text goes if its words are this much likelier (natural log) as random letters than in its best language.
+AGAINST = 13.8
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a decided language (null text or no letter)."""
+    """Drop documents in no learned language: without a letter, or with words that letters at random explain better.
+
+    The test counts letters, so a short text or a few odd words never fail it. If no row has
+    a label, no language is learned, and every document with a letter stays. An empty table
+    stays empty; columns are those of ``docs``.
+    """
     model = language.fit(docs)
-    judged = language.judged(docs, model, "__judged")
-    return judged.where(F.col("__judged.lang_pred") != language.UNDECIDED).drop("__judged")
+    if not model.languages:
+        return docs.where(language.has_letter(F.col("text")))
+    name = fresh(docs, "__judged")
+    judged = language.judged(docs, model, name)
+    return judged.where((F.col(f"{name}.lang_pred") != language.UNDECIDED) & (F.col(f"{name}.gain") > -AGAINST)).drop(name)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
