@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.llm.common import stored
+from tidepost.llm.common import lean, stored
 from tidepost.llm.shingles import BASE, MULTIPLY, mixed, runs
 
 WIDTH = 35
@@ -130,6 +130,7 @@ def _slot(anchor: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _anchor_rows(width: int, gram: int):
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, run in runs(batch.column(0).to_pylist()):
@@ -151,6 +152,7 @@ def shared_anchors(docs: DataFrame, text_col: str, width: int, gram: int) -> Dat
 def anchor_filter(anchors: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two sets of slots as bits: of shared anchors, and of varied ones. At most 2 ** bits bits each, whatever the input."""
 
+    @lean
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             slot = _slot(batch["anchor"].to_numpy().view(np.uint64), bits)
@@ -176,6 +178,7 @@ PLACES = "key_1 long, key_2 long, anchor long, print long, first int, windows in
 
 
 def _place_rows(shared, bits: int, width: int, gram: int):
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ones, twos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -254,8 +257,19 @@ def repeated_passages(
     doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     keys = [k.alias(f"key_{i}") for i, k in enumerate(row_key(doc_id, text), 1)]
     slim = docs.select(doc_id.alias("doc_id"), text.alias("text"), *keys)
-    found = slim.join(factors(docs, id_col, text_col, width, gram, filter_bits), ["key_1", "key_2"], "left").select("doc_id", "text", "parts")
-
+    known = stored(factors(docs, id_col, text_col, width, gram, filter_bits), "substring-factors")
+    # Only texts that may have a factor meet them; the others are never shuffled.
+    bits = min(filter_bits, max(10, (16 * known.count()).bit_length()))
+    word, bit = F.shiftrightunsigned("key_1", 64 - (bits - 6)), F.shiftrightunsigned("key_1", 64 - bits).bitwiseAND(63).cast("int")
+    held = known.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    # At most 2 ** (filter_bits - 6) rows, whatever the input: safe to broadcast.
+    marked = slim.withColumn("word", word).join(F.broadcast(held), "word", "left")
+    may = F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))
+    met = marked.where(may).join(known, ["key_1", "key_2"], "left").select("doc_id", "text", "parts")
+    none = F.lit(None).cast(known.schema["parts"].dataType)
+    found = met.unionByName(marked.where(~may).select("doc_id", "text", none.alias("parts")))
+
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, run in runs(batch.column(1).to_pylist()):
