@@ -19,11 +19,12 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 HEADLINE = (
     "top_words clean_text latin_filter script_filter quality_filter quality_extended "
-    "keyword_filter search_posts prefix_dedup url_dedup unseen_posts hashtag_top context_words "
+    "keyword_filter search_posts_spanned prefix_dedup url_dedup unseen_posts hashtag_top context_words "
     "auto_expand lexicon_sentiment model_sentiment frequency_topics page_links page_records "
     "page_markers date_chunks adaptive_chunks planned_quota match_posts work_yield dynamic_quota "
-    "chunk_cap rate_status rate_by_type job_latest batch_files stall_runs fallback_fill "
-    "mixed_union standard_job expand_job lda_topics stream_dedup stream_rate stream_intake"
+    "chunk_cap rate_status rate_by_type job_latest batch_files stall_runs fallback_fill_uncapped "
+    "mixed_union standard_job_spanned expand_job_spanned lda_topics stream_dedup stream_rate "
+    "stream_intake_uncapped lexicon_table expand_job_quota smart_job"
 ).split()
 
 

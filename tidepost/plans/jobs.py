@@ -21,15 +21,18 @@ from tidepost.functions.predicates import (
     mostly_latin,
 )
 from tidepost.operators.dedup import first_by_prefix, first_by_url, keep_first
-from tidepost.operators.discovery import expand_keywords
+from tidepost.operators.discovery import expand_keywords, tag_counts
 from tidepost.operators.limits import first_rows, quota_per_group
+from tidepost.operators.ranking import top_terms, with_rank
 from tidepost.functions.text import text_column
 from tidepost.operators.sentiment import Model, with_lexicon_sentiment, with_model_sentiment
+from tidepost.operators.state import completed_batch_files
 from tidepost.operators.topics import lda_topics
-from tidepost.plans.fill import fill_to_target
+from tidepost.plans.fill import fill_to_target, merge_first_schema
+from tidepost.plans.waves import run_waves
 from tidepost.plans.work import first_matches, match_posts, work_items
 from tidepost.session import through_table
-from tidepost.sources.readers import read_posts
+from tidepost.sources.readers import read_csv_posts, read_posts, read_result
 from tidepost.sources.writers import write_csv
 
 
@@ -162,13 +165,18 @@ def standard_job(
     count: int | None,
     top_up: Sequence[DataFrame] = (),
     quota: int | None = None,
+    smart: int | None = None,
 ) -> DataFrame:
     """One search; a range over a week is read in weekly chunks with equal quotas.
 
     Without both dates, or with one that can't be read, the whole table is one search. ``count``
     None means no cap and no top-up, and quotas only if ``quota`` gives the rows of a chunk: without either, chunks
-    bound only where near-copies are looked for. The top-up of this job keeps duplicates, the chunks do not.
+    bound only where near-copies are looked for. The top-up of this job keeps duplicates, the
+    chunks do not. With ``smart``, the top hashtags of that many first readable posts with a
+    keyword, of any date, are searched for too.
     """
+    if smart:
+        keywords = [*keywords, *related_tags(posts, keywords, smart)]
     dated = bool(start and end)
     # dates as the plan reads them; a range that can't be read is none
     first, last = _day(start) if dated else None, _day(end) if dated else None
@@ -195,6 +203,82 @@ def standard_job(
     return fill_to_target([found, *top_up], count, ["post_id"], dedup=False)
 
 
+def related_tags(posts: DataFrame, keywords: Sequence[str], sample: int = 100, tags: int = 10) -> list[str]:
+    """The ``tags`` most used hashtags of the first ``sample`` readable posts with a keyword (ties: earlier first)."""
+    found = first_rows(readable(search(posts, keywords)).select("post_id", "text"), ["post_id"], sample)
+    top = with_rank(top_terms(tag_counts(found, "post_id"), tags)).orderBy("rank")
+    return [r["term"] for r in top.collect()]  # at most ``tags`` rows
+
+
+def expand_job_in_waves(
+    posts: DataFrame,
+    keywords: Sequence[str],
+    start: str | None,
+    end: str | None,
+    asof: str,
+    target: int,
+    folder: str,
+    lang: str | None = None,
+    limit: int = VARIATIONS,
+    most_waves: int | None = None,
+    **sizes: int,
+) -> DataFrame:
+    """The expand job with quotas that follow what was collected: ``post_id, url, work_idx, wave``.
+
+    ``folder`` holds the plan, the candidates and the waves; a call on the same folder goes on where the
+    last one stopped. ``sizes`` goes to ``run_waves``.
+    """
+    spark = posts.sparkSession
+    source = originals(posts, lang)
+    if not _exists(spark, f"{folder}/candidates/_SUCCESS"):
+        variations = through_table(expand_keywords(source, "post_id", keywords, limit=limit), "variations")
+        chunks = planned_chunks(F.lit(start), F.lit(end), F.lit(asof).cast("date"), TRAILING_DAYS)
+        work_items(variations, chunks).write.mode("overwrite").parquet(f"{folder}/items")
+        items = spark.read.parquet(f"{folder}/items")
+        undated = not items.where(F.col("chunk_start").try_cast("date").isNull()).isEmpty()
+        judged = source.withColumns(
+            {**dict(zip(ROW, row_key(source))), "__start": F.substring("text", 1, 50), "__size": F.length("text"), "__passes": passes_intake(posts.columns)}
+        )
+        matches = match_posts(judged, items, undated=undated, keep=["post_id", *ROW, "url", "__start", "__size", "__passes"])
+        copies = [F.col("work_idx"), F.col("__start"), F.col("__size")]
+        sessions = keep_first(matches.where(F.col("__size").isNotNull()), copies, ["post_id", *ROW]).where("__passes")
+        sessions.select("post_id", *ROW, "url", "work_idx").write.mode("overwrite").parquet(f"{folder}/candidates")
+    items = spark.read.parquet(f"{folder}/items").count()
+    candidates = spark.read.parquet(f"{folder}/candidates")
+    found = run_waves(candidates, items, target, f"{folder}/waves", ["post_id", *ROW], most_waves=most_waves, **sizes)
+    return found.select("post_id", "url", "work_idx", "wave")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
+def merge_finished_batches(spark: SparkSession, jobs: DataFrame, folder: str) -> DataFrame:
+    """Merge the result files of every finished batch into one headed CSV below ``folder``; one row per merged batch.
+
+    ``jobs`` has ``batch_id, done, result_file``. Gives ``batch_id, files, rows, merged_file``. Files that are
+    missing, unreadable or of another kind are left out; a batch without a row gives none. Columns are
+    those of the first file by name; a batch that was merged before is not merged again. One
+    batch's file names reach the driver at a time.
+    """
+    files = through_table(completed_batch_files(jobs).distinct(), "batch-files")
+    out = []
+    for batch in [r["batch_id"] for r in files.select("batch_id").distinct().orderBy("batch_id").collect()]:
+        target = f"{folder}/batch_{batch}"
+        names = [r["result_file"] for r in files.where(F.col("batch_id").eqNullSafe(F.lit(batch))).orderBy("result_file").collect()]
+        parts = [p for p in (read_result(spark, n) for n in names) if p is not None]
+        if not parts:
+            continue
+        if not _exists(spark, f"{target}/_SUCCESS"):
+            write_csv(merge_first_schema(parts), target, mode="overwrite")
+        rows = read_csv_posts(spark, target).count()
+        if rows:
+            out.append((batch, len(parts), rows, target))
+    kind = jobs.schema["batch_id"].dataType.simpleString()
+    return spark.createDataFrame(out, f"batch_id {kind}, files int, rows long, merged_file string")
+
+
 def score_table(
     spark: SparkSession, source: str, result: str, load_model: Callable[[], Model] | None = None
 ) -> DataFrame:

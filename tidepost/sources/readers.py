@@ -116,6 +116,22 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_result(spark: SparkSession, path: str) -> DataFrame | None:
+    """One result file with the columns it has, all as text; None if it is missing, of another kind or without a readable row."""
+    suffix = "." + path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix not in (".json", ".jsonl", ".csv") or not _exists(spark, path):
+        log.warning("skipped, no result file: %s", path)
+        return None
+    if suffix == ".csv":
+        return read_csv_posts(spark, path)
+    rows = spark.read.option("multiLine", suffix == ".json").option("mode", "DROPMALFORMED").option("primitivesAsString", True).json(path)
+    if not rows.columns:
+        log.warning("skipped, no rows can be read: %s", path)
+        return None
+    # a JSON reader knows no order of columns: alphabetical
+    return rows.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.col(f.name) for f in rows.schema])
+
+
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """Checkpoint files of a folder, one row each, with the ``file`` they came from.
 

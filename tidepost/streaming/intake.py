@@ -1,4 +1,4 @@
-"""Incremental intake of landed files: dedup against the sink, cap, resume."""
+"""Incremental intake of landed files: dedup against all that came before, cap, resume."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidepost.operators.dedup import first_by_url, unseen
 from tidepost.operators.limits import first_rows
+from tidepost.streaming.seen import first_of_new_keys
+from tidepost.streaming.timed import timers
 
 BATCH = "batch_id"
 
@@ -37,10 +38,11 @@ def landed(
 class Intake:
     """A sink of unique posts fed batch by batch.
 
-    Each batch writes its own ``batch_id=`` folder and replaces it when Spark
-    repeats the batch after a failure, so no row is lost or doubled. URLs seen
-    before are read from the sink, which has no memory bound, not from a state
-    store.
+    URLs seen before are remembered by the state store, so a batch costs its own rows, however much
+    has been collected; nothing is late and nothing is forgotten. Each batch writes its own
+    ``batch_id=`` folder and replaces it when Spark repeats the batch after a failure, with the
+    state of that batch, so no row is lost or doubled. ``prepare`` turns landed rows into
+    posts, row by row.
     """
 
     spark: SparkSession
@@ -67,24 +69,31 @@ class Intake:
         return self.spark.read.schema(schema).option("basePath", self.sink).parquet(self.sink)
 
     def reached(self) -> bool:
-        return self.target is not None and self._stored().count() >= self.target
+        """Whether ``target`` rows are stored; the sink is counted once, then batch by batch."""
+        if self.target is None:
+            return False
+        counts = self.__dict__.setdefault("_counts", None)
+        if counts is None:
+            counts = self._counts = {r[BATCH]: r["count"] for r in self._stored().groupBy(BATCH).count().collect()}
+        return sum(list(counts.values())) >= self.target
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         # A committed batch never comes again, so its rows are kept even beyond the target.
-        before = self._stored().where(F.col(BATCH) < batch_id)
-        rows = self.prepare(batch) if self.prepare else batch
-        rows = first_by_url(rows, self.order, self.url) if batch_id == 0 else unseen(
-            rows, before, self.order, self.url
-        )
-        rows.write.mode("overwrite").parquet(f"{self.sink}/{BATCH}={batch_id}")
+        path = f"{self.sink}/{BATCH}={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        if getattr(self, "_counts", None) is not None:
+            self._counts[batch_id] = self.spark.read.schema(self.schema).parquet(path).count()
 
     def start(self, stream: DataFrame) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(self._take)
-            .option("checkpointLocation", self.checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
+        rows = self.prepare(stream) if self.prepare else stream
+        with timers(self.spark):
+            return (
+                first_of_new_keys(rows, self.url, self.order)
+                .writeStream.foreachBatch(self._take)
+                .option("checkpointLocation", self.checkpoint)
+                .trigger(availableNow=True)
+                .start()
+            )
 
     def run(self, stream: DataFrame, timeout: int | None = None) -> DataFrame:
         """Take everything that has landed, or stop once the target is reached.
