@@ -18,6 +18,8 @@ LEDGER = T.StructType(
         T.StructField("new_unique", T.LongType()),
         T.StructField("saved_at", T.TimestampType()),
         T.StructField("deleted", T.BooleanType()),
+        # grows by one whenever the job is forgotten; rows of an older one don't count
+        T.StructField("generation", T.LongType()),
     ]
 )
 
@@ -39,9 +41,18 @@ class Ledger:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER]
         stamped.select(*columns).write.mode("append").parquet(self.path)
 
+    def _rows(self, job_id: str) -> DataFrame:
+        rows = self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("job_id") == job_id)
+        return rows.withColumn("generation", F.coalesce("generation", F.lit(0)))
+
+    def _generation(self, job_id: str) -> int:
+        """How often the job was forgotten; no clock of any session matters."""
+        return self._rows(job_id).where("deleted").agg(F.max("generation")).first()[0] or 0
+
     def save(self, job_id: str, finished: DataFrame) -> None:
         """Record finished items (``work_idx, fetched, new_unique``)."""
-        self._append(finished.withColumns({"job_id": F.lit(job_id), "deleted": F.lit(False)}))
+        columns = {"job_id": F.lit(job_id), "deleted": F.lit(False), "generation": F.lit(self._generation(job_id))}
+        self._append(finished.withColumns(columns))
 
     def delete(self, job_id: str) -> None:
         """Forget a job: rows saved up to now no longer count."""
@@ -51,16 +62,17 @@ class Ledger:
             F.lit(0).alias("fetched"),
             F.lit(0).alias("new_unique"),
             F.lit(True).alias("deleted"),
+            F.lit(self._generation(job_id) + 1).alias("generation"),
         )
         self._append(row)
 
     def load(self, job_id: str) -> DataFrame:
         """Finished items of a job, one row each."""
-        rows = self.spark.read.schema(LEDGER).parquet(self.path).where(F.col("job_id") == job_id)
-        gone = rows.where("deleted").agg(F.max("saved_at").alias("__gone")).scalar()
+        rows = self._rows(job_id)
+        now = rows.where("deleted").agg(F.max("generation")).scalar()
         return (
             rows.where(~F.col("deleted"))
-            .where(F.col("saved_at") > F.coalesce(gone, F.lit("1970-01-01").cast("timestamp")))
+            .where(F.col("generation") == F.coalesce(now, F.lit(0)))
             .groupBy("work_idx")
             .agg(F.max("fetched").alias("fetched"), F.max("new_unique").alias("new_unique"))
         )
