@@ -105,18 +105,19 @@ def url_verdicts(
     named = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("__url"))
     host, path = host_and_path(F.col("__url"))
     parsed = named.select("page_id", host.alias("host"), path.alias("path"))
-    labels = F.size(F.split("host", r"\."))
-    keys = []
-    for depth in sorted(depths):
-        for length in sorted(lengths):
-            own = F.when(
-                (labels >= depth) & (F.length("path") >= length),
-                F.struct(F.substring_index("host", ".", -depth).alias("host"), F.expr(f"substring(path, 1, {length})").alias("path")),
-            )
-            keys.append(own)
-    if not keys:
+    if not depths:
         return parsed.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    possible = F.filter(F.array(*keys), lambda k: k.isNotNull())
+    # The URL's own suffixes and prefixes of the listed sizes: one expression, however long the list.
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(
+        F.filter(F.lit(sorted(depths)), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), ".")
+    )
+    prefixes = F.transform(
+        F.filter(F.lit(sorted(lengths)), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n)
+    )
+    possible = F.flatten(
+        F.transform(suffixes, lambda h: F.transform("__prefixes", lambda p: F.struct(h.alias("host"), p.alias("path"))))
+    )
 
     @F.pandas_udf("array<boolean>")
     def hits(hashes: pd.Series) -> pd.Series:
@@ -128,6 +129,7 @@ def url_verdicts(
 
     tested = stored(
         parsed.withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("__prefixes", prefixes)
         .withColumn("possible", possible)
         .withColumn("hit", hits(F.transform("possible", lambda k: F.xxhash64(k["host"], k["path"]))))
         .withColumn("passed", F.filter(F.arrays_zip("possible", "hit"), lambda z: z["hit"]))
