@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepost.functions.dates import shortfall, top_up_request
 from tidepost.operators.dedup import keep_first
 from tidepost.operators.limits import first_rows
+from tidepost.session import through_table
 
 # A pluggable source gives at most ``count`` posts for a keyword:
 # ``source(spark, keyword, count)``.
@@ -80,15 +81,16 @@ def fill_from_source(
     """Top up from a second source, keyword by keyword in list order.
 
     Each keyword is asked for what is still missing and ``spare`` more, at most ``most``
-    (None: no limit). No keyword is asked once the target is reached.
+    (None: no limit). No keyword is asked once the target is reached. Each round is stored, so
+    the work grows with the keywords asked and the rows they bring.
     """
-    parts = [rows]
-    filled = fill_to_target(parts, target, order, dedup)
+    filled = through_table(fill_to_target([rows], target, order, dedup), "filled")
     for keyword in keywords:
         missing = target - filled.count()
         if missing <= 0:
             break
         ask = missing + spare if most is None else min(missing + spare, most)
-        parts.append(source(rows.sparkSession, keyword, ask))
-        filled = fill_to_target(parts, target, order, dedup)
+        part = source(rows.sparkSession, keyword, ask)
+        # all that is there stays, as it is short of the target; only the new part is looked at
+        filled = through_table(fill_to_target([filled, part], target, order, dedup), "filled")
     return filled
