@@ -88,14 +88,14 @@ def stream_silences(spark, folder):
 
 @register(
     "stream_first_copies",
-    """SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id // 240 < (SELECT max(doc_id) // 240 FROM documents)
-    QUALIFY row_number() OVER (PARTITION BY doc_id // 240, text[1:50], length(text) ORDER BY doc_id) = 1""",
+    """SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id // 48 < (SELECT max(doc_id) // 48 FROM documents)
+    QUALIFY row_number() OVER (PARTITION BY doc_id // 48, text[1:50], length(text) ORDER BY doc_id) = 1""",
 )
 def stream_first_copies(spark, folder):
-    """Slices of ten days; the last one is still open when the stream has been read."""
+    """Slices of two days; the last one is still open when the stream has been read."""
     at = F.timestamp_seconds(F.lit(0) + F.col("doc_id") * 3600)
     rows = _stream(spark, folder, "documents").select("doc_id", "text", at.alias("at"))
-    first = operators.first_copies(rows, "at", "0 seconds", "10 days", "doc_id")
+    first = operators.first_copies(rows, "at", "0 seconds", "2 days", "doc_id")
     return _run(spark, first, "first-copies").select("doc_id", "text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Sequence
 from functools import reduce
@@ -66,6 +67,45 @@ def read_csv_posts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str] | None:
+    """Column names of a headed CSV file (or of the first file of a folder); None if its first line does not tell them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getFileStatus(at).isDirectory():
+        files = [f.getPath() for f in system.listStatus(at) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+        if not files:
+            return None
+        at = min(files, key=lambda f: f.getName())
+    if not at.getName().endswith(".csv"):
+        return None
+    io = spark._jvm.java.io
+    reader = io.BufferedReader(io.InputStreamReader(system.open(at), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    names = next(csv.reader([line or ""]), [])
+    plain = line is not None and line.count('"') % 2 == 0 and not line.startswith("\ufeff")
+    return names if plain and names and all(names) and len({n.lower() for n in names}) == len(names) else None
+
+
+def read_csv_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Headed CSV files in one scan for each header that occurs, however many files share it; columns united by name."""
+    same: dict[tuple[str, ...], list[str]] = {}
+    parts = []
+    for path in paths:
+        names = csv_header(spark, path)
+        if names is None:
+            parts.append(read_csv_posts(spark, path))
+        else:
+            same.setdefault(tuple(names), []).append(path)
+    for names, files in same.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+        parts.append(reader.csv(files))
+    return _union(parts)
+
+
 def typed_posts(rows: DataFrame) -> DataFrame:
     """Stored posts in the types of the post table: times, counts, hashtag list."""
     columns = {}
@@ -88,13 +128,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_posts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read each path by its suffix (.json, .jsonl, .csv, .parquet); typed posts.
 
-    A missing path or an unknown suffix is reported and skipped. CSV tables are
-    read one by one, since each has its own header.
+    A missing path or an unknown suffix is reported and skipped. CSV tables of one header
+    are read together.
     """
     readers = {
         ".json": lambda s, p: read_json_posts(s, p),
         ".jsonl": lambda s, p: read_json_posts(s, p, lines=True),
-        ".csv": lambda s, p: _union([read_csv_posts(s, one) for one in p]),
+        ".csv": read_csv_files,
         ".parquet": lambda s, p: s.read.parquet(*p),
     }
     grouped: dict[str, list[str]] = {}
