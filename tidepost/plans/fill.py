@@ -84,13 +84,14 @@ def fill_from_source(
     (None: no limit). No keyword is asked once the target is reached. Each round is stored, so
     the work grows with the keywords asked and the rows they bring.
     """
-    filled = through_table(fill_to_target([rows], target, order, dedup), "filled")
-    for keyword in keywords:
+    asked = ["__round", *order]
+    filled = through_table(fill_to_target([rows.withColumn("__round", F.lit(0))], target, asked, dedup), "filled")
+    for number, keyword in enumerate(keywords, 1):
         missing = target - filled.count()
         if missing <= 0:
             break
         ask = missing + spare if most is None else min(missing + spare, most)
-        part = source(rows.sparkSession, keyword, ask)
+        part = source(rows.sparkSession, keyword, ask).withColumn("__round", F.lit(number))
         # all that is there stays, as it is short of the target; only the new part is looked at
-        filled = through_table(fill_to_target([filled, part], target, order, dedup), "filled")
-    return filled
+        filled = through_table(fill_to_target([filled, part], target, asked, dedup), "filled")
+    return filled.orderBy(*asked).drop("__round")
