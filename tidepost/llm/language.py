@@ -33,7 +33,7 @@ UNIT = 1 << 20
 #: Forward values are held times this for each letter passed, so that 41 letters stay within a float's range.
 LETTER = 2.0**20
 #: Words are worked on in blocks of about this many (place, language) cells.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Bounds of the memo of chunks: bytes in all, and letters of a chunk that is held beyond its run.
 MEMO_BYTES = 24 << 20
 MEMO_KEY = 48
