@@ -64,3 +64,36 @@ def test_row_key_tells_rows_apart(spark):
     rows = spark.createDataFrame([(None, "a"), ("a", None), ("a", "a"), (None, None), ("a", "a")], "x string, y string")
     keys = [tuple(r) for r in rows.select(*jobs.row_key(rows)).collect()]
     assert len(set(keys)) == 4 and keys[2] == keys[4]
+
+
+def broadcast_bytes(plan) -> int:
+    """Bytes of the largest table that a finished plan broadcast."""
+    name = plan.nodeName()
+    own = plan.metrics().get("dataSize").get().value() if name == "BroadcastExchange" else 0
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else []
+    children = plan.children()
+    return max([own, *map(broadcast_bytes, inner + [children.apply(i) for i in range(children.size())])])
+
+
+def test_the_plan_is_not_multiplied_by_the_days_of_its_ranges(spark, tmp_path):
+    names = spark.range(40).selectExpr("CAST(id AS INT) AS variation_idx", "concat('wort', id, ' gross') AS variation")
+    ends = [(i, dt.date(2020, 1, 1) + dt.timedelta(500 * i), dt.date(2020, 1, 1) + dt.timedelta(500 * i + 500)) for i in range(2)]
+    chunks = spark.createDataFrame(ends, "chunk_idx int, chunk_start date, chunk_end date")
+    items = names.crossJoin(chunks).selectExpr("variation_idx * 2 + chunk_idx AS work_idx", "*")
+    items.write.parquet(f"{tmp_path}/items")
+    stored = spark.read.parquet(f"{tmp_path}/items")
+    rows = [(i, f"Wort{i % 50} ist", dt.datetime(2019, 12, 30) + dt.timedelta(days=i)) for i in range(1010)]
+    posts = spark.createDataFrame(rows, "post_id long, text string, ts timestamp")
+    found = work.match_posts(posts, stored, keep=["post_id"])
+    got = sorted((r.work_idx, r.post_id) for r in found.collect())
+    # wort1 is in wort10 to wort19 too
+    wanted = [
+        (v * 2 + c, i) for v in range(40) for c in range(2) for i, text, _ in rows
+        if f"wort{v}" in text.lower() and 0 <= i - 2 - 500 * c < 500
+    ]
+    assert got == sorted(wanted)
+    # once 16,000 rows, of each day and salt, held 40 items each
+    assert broadcast_bytes(found._jdf.queryExecution().executedPlan()) < 4 << 20
+    shuffled = work.match_posts(posts, stored, keep=["post_id"], most_bytes=0)
+    assert sorted((r.work_idx, r.post_id) for r in shuffled.collect()) == got
+    assert broadcast_bytes(shuffled._jdf.queryExecution().executedPlan()) == 0

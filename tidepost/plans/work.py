@@ -11,8 +11,12 @@ from tidepost.functions.dates import planned_quota, quota_per_chunk, remaining_q
 from tidepost.functions.text import filter_words
 from tidepost.operators.dedup import keep_first
 from tidepost.operators.grams import with_found_terms
+from tidepost.session import through_table
 
 NO_DAY = -(1 << 31)
+RANGE = ["__from", "__to"]
+#: Most bytes, as JSON, of a table of the plan that is broadcast; what a row adds to its array.
+MOST_BYTES, ROW_BYTES = 8 << 20, 32
 
 
 def work_items(variations: DataFrame, chunks: Column) -> DataFrame:
@@ -38,7 +42,8 @@ def work_items(variations: DataFrame, chunks: Column) -> DataFrame:
 
 def unfinished(items: DataFrame, ledger: DataFrame) -> DataFrame:
     """Items without a row in the ledger of finished items; gaps are kept."""
-    return items.join(ledger.select("work_idx"), "work_idx", "left_anti").select(*items.columns)
+    done = ledger.select("work_idx").distinct()  # a ledger may hold an item once per post
+    return items.join(done, "work_idx", "left_anti").select(*items.columns)
 
 
 def from_index(items: DataFrame, start: int | Column) -> DataFrame:
@@ -54,59 +59,83 @@ def match_posts(
     undated: bool = False,
     keep: Sequence[str] | None = None,
     salts: int = 16,
+    most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """Posts each item asks for: in its date range, with one of its words.
 
     ``posts`` must not already hold the item columns. Each distinct word of the plan is
-    looked up once per post, before any join (see ``operators.grams``). Items then reach the posts
-    as one array per day of their range, in an equi-join on the day, and are tested against
+    looked up once per post, before any join (see ``operators.grams``). A post's day then gives
+    the date ranges it lies in, and each range its items as one array, whose words are tested against
     the words found. ``keep`` names the columns of ``posts`` that the result holds
     (by default all); without the text among them, no text is ever shuffled.
 
-    Spark broadcasts the item table if it is small enough by its size. Else both sides are
-    shuffled by day and salt, so a busy day is spread over ``salts`` tasks. Items whose
-    dates cannot be read match nothing, or with ``undated`` every post, those without a time too.
+    So a plan is held once per item and once per day of each distinct range, never per item and
+    day. Both tables are stored and measured: up to ``most_bytes`` a table is broadcast, beyond
+    that both sides are shuffled by key and salt, so a busy range is spread over ``salts`` tasks.
+    Items whose dates cannot be read match nothing, or with ``undated`` every post, those
+    without a time too.
     """
     words = F.array_distinct(F.transform(filter_words(F.col("variation")), F.lower))
     first, last = F.col("chunk_start").try_cast("date"), F.col("chunk_end").try_cast("date")
-    # posts without a time stand on a day of their own, which no dated item reaches
-    day = F.coalesce(F.unix_date(F.to_date(ts)), F.lit(NO_DAY))
+    loose = first.isNull() | last.isNull()
+    # items without dates stand in a range of their own, which no day has
+    bounds = [F.when(loose, F.lit(NO_DAY)).otherwise(F.unix_date(d)) for d in (first, last)]
     item = F.struct("work_idx", "variation_idx", "chunk_idx", "words").alias("item")
     worded = items.withColumn("words", words)
-    dated = worded.where(first < last).select(
-        F.explode(F.sequence(F.unix_date(first), F.unix_date(last) - 1)).alias("__day"), item
-    )
-    if undated:
-        # items without dates, as one array, on each of the days on which there are posts
-        loose = worded.where(first.isNull() | last.isNull()).agg(F.collect_list(item)).scalar()
-        every = posts.select(day.alias("__day")).distinct()
-        dated = dated.unionByName(every.select("__day", F.explode(loose).alias("item")))
-    by_day = (
-        dated.groupBy("__day")
-        .agg(F.collect_list("item").alias("__items"))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ranged = worded.where(loose | (first < last) if undated else first < last).select(
+        *[b.alias(n) for b, n in zip(bounds, RANGE)], item
     )
+    by_range = through_table(ranged.groupBy(*RANGE).agg(F.collect_list("item").alias("__items")), "items-by-range")
+    days = F.explode(F.sequence("__from", F.col("__to") - 1)).alias("__day")
+    dated = by_range.where(F.col("__from") < F.col("__to")).select(days, F.struct(*RANGE).alias("range"))
+    by_day = through_table(dated.groupBy("__day").agg(F.collect_list("range").alias("__ranges")), "ranges-by-day")
     kept = list(keep) if keep is not None else posts.columns
     known = worded.select(F.explode("words").alias("term"))
     looked_up = with_found_terms(posts, F.col(text), known, "__found").select(
         *kept,
-        day.alias("__day"),
+        F.unix_date(F.to_date(ts)).alias("__day"),
         # the same for a repeated task, and spread over any one day or text
         F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"),
         "__found",
     )
+    if undated:
+        # posts of no day that is asked for, and those without a time, are in the range of these items
+        everywhere = F.array(F.struct(*[F.lit(NO_DAY).alias(n) for n in RANGE]))
+        asked = _joined(looked_up, by_day, ["__day"], "__ranges", salts, most_bytes, "left")
+        ranges = F.concat(F.coalesce("__ranges", F.filter(everywhere, lambda r: F.lit(False))), everywhere)
+    else:
+        asked = _joined(looked_up, by_day, ["__day"], "__ranges", salts, most_bytes, "inner")
+        ranges = F.col("__ranges")
+    in_range = asked.select(*kept, "__salt", "__found", F.explode(ranges).alias("__range")).select(
+        *kept, "__salt", "__found", "__range.*"
+    )
     # an item without words keeps every post of its range
     wanted = F.filter(
         "__items",
         lambda i: (F.size(i["words"]) == 0) | F.arrays_overlap(i["words"], F.col("__found")),
     )
     return (
-        looked_up.join(by_day, ["__day", "__salt"])
+        _joined(in_range, by_range, RANGE, "__items", salts, most_bytes, "inner")
         .select(*kept, F.explode(wanted).alias("__item"))
         .select(*kept, "__item.work_idx", "__item.variation_idx", "__item.chunk_idx")
     )
 
 
+def _joined(
+    rows: DataFrame, stored: DataFrame, keys: list[str], column: str, salts: int, most_bytes: int, how: str
+) -> DataFrame:
+    """``rows`` with the array ``column`` of a stored table, one row per key there.
+
+    Spark's own choice goes by the size of the files, which says little of arrays; a broadcast that it
+    plans by them stays even if the table turns out large. Hence the measured bytes.
+    """
+    size = stored.agg(F.sum(ROW_BYTES + F.octet_length(F.to_json(column)))).first()[0] or 0
+    if size <= most_bytes:
+        return rows.join(F.broadcast(stored), keys, how)
+    salted = stored.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(salted.hint("merge"), [*keys, "__salt"], how)
+
+
 def first_matches(matches: DataFrame, order: list[str], url: str = "url") -> DataFrame:
     """One row per URL: the match of the earliest item, then of the earliest post."""
     known = matches.where(F.coalesce(F.col(url), F.lit("")) != "")
