@@ -59,3 +59,36 @@ def test_work_follows_hits_not_terms():
     index.terms = [Counted(t) for t in index.terms]
     assert index.find(["nothing of interest here " * 50, "some term000123 and term019999"]) == [[], ["term000123", "term019999"]]
     assert tested < 200
+
+
+def test_terms_that_share_grams_with_a_text_are_not_tested():
+    parts = [a + b for a in "bdgklmnprst" for b in "aeiou"]
+    index = grams.TermIndex([a + b + c for a in parts[:25] for b in parts[:25] for c in parts[:25]])
+    tested = 0
+
+    class Counted(list):
+        def __iter__(self):
+            nonlocal tested
+            tested += len(self)
+            return super().__iter__()
+
+    index.terms = [Counted(t) for t in index.terms]
+    # every gram of these words is one of a term's, no word is as long as a term
+    assert index.find([" ".join(a + b for a in parts[:25] for b in parts[:25])]) == [[]]
+    assert tested == 0
+
+
+def test_a_long_list_of_terms_is_looked_up_not_tested_one_by_one(spark):
+    texts, terms = material(5)
+    good, bad = [f"{t}é" for t in terms] + terms[:200], terms[100:]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = sentiment.with_lexicon_sentiment(rows, positive=good, negative=bad)
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+
+    def hits(text, side):
+        return sum(t in (text or "").lower() for t in {t.lower() for t in side if t})
+
+    for r in found.collect():
+        p, n = hits(r.text, good), hits(r.text, bad)
+        assert r.sentiment == ("positive" if p > n else "negative" if n > p else "neutral")
+        assert r.sentiment_score == (0.5 if p == n else round(max(p, n) / (p + n), 3))
