@@ -113,3 +113,14 @@ def test_topics_of_posts_without_ground_for_them(spark):
     assert topics.lda_topics(posts.where("false"), "id").count() == 0
     same = spark.range(40).select("id", F.lit("kata yang sama terus berulang ulang").alias("text"))
     assert topics.lda_topics(same, "id", 2, 3).count() == topics.frequency_topics(same, "id", 2, 3).count()
+
+
+def test_tfidf_terms_reads_the_texts_twice_only(spark, monkeypatch):
+    from tidepost.catalog import topic_queries
+
+    read = []
+    own = topic_queries.vectors.vocabulary
+    monkeypatch.setattr(topic_queries.vectors, "vocabulary", lambda statistics, **sizes: read.append(statistics) or own(statistics, **sizes))
+    topic_queries.tfidf_terms(spark, "/root/testdata/sf0.001")
+    # the vocabulary is cut from a stored table, with no aggregate over texts behind it
+    assert "documents.parquet" not in "".join(read[0].inputFiles())

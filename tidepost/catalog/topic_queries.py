@@ -8,6 +8,7 @@ from tidepost.catalog.registry import documents, register, sql_list
 from tidepost.functions import fixed_values as V
 from tidepost.functions.charclass import SPACE, WORD
 from tidepost.operators import topics, vectors
+from tidepost.session import through_table
 
 TOPICS, ROUNDS, STEPS, SEED = 5, 10, 100, 42
 
@@ -29,7 +30,8 @@ weighted AS MATERIALIZED (SELECT doc_id, term, i, tf, df, w / sqrt(sum(w * w) OV
 @register("tfidf_terms", f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM weighted")
 def tfidf_terms(spark, folder):
     docs = topics.topic_documents(documents(spark, folder), "doc_id")
-    terms, idf, _ = vectors.vocabulary(vectors.term_statistics(docs))
+    # read twice: the texts are tokenised once for it
+    terms, idf, _ = vectors.vocabulary(through_table(vectors.term_statistics(docs), "topic-terms"))
     names = F.array(*[F.lit(t) for t in terms])
     found = vectors.tfidf_vectors(docs, terms, idf).select("ord", F.explode(F.arrays_zip("terms", "weights")).alias("t"))
     return found.select(F.col("ord").alias("doc_id"), F.get(names, F.col("t.terms")).alias("term"), F.round("t.weights", 6).alias("weight"))
