@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepost.plans import work
-from tidepost.sources.days import in_days_of, read_days, write_by_day
+from tidepost.sources.days import days_per_folder, in_days_of, read_days, write_by_day
 from tidepost.sources.ledger import Ledger
 from tidepost.sources.page_function import parse_fields, register_page_records
 
@@ -77,3 +77,22 @@ def test_files_read_fall_with_the_days_asked_for(spark, tmp_path):
         assert sorted(work.match_posts(asked, items, keep=["post_id"]).collect()) == sorted(want.collect())
     assert in_days_of(stored, items, undated=True).count() == 400
     assert in_days_of(stored, items.where("work_idx = 1")).count() == 0
+
+
+def test_a_long_span_is_stored_in_few_folders(spark, tmp_path):
+    start = dt.datetime(1969, 12, 25)  # days before 1970 too
+    rows = [(i, f"banjir {i}", start + dt.timedelta(days=i) if i % 41 else None) for i in range(400)]
+    posts = spark.createDataFrame(rows, "post_id long, text string, ts timestamp_ntz")
+    days = days_per_folder("1969-12-25", (start + dt.timedelta(days=400)).date().isoformat(), most=20)
+    assert days == 20 and days_per_folder("2024-01-01", "2024-01-01") == 1
+    write_by_day(posts, f"{tmp_path}/days", days=days)
+    assert len(list((tmp_path / "days").glob("day=*/*.parquet"))) <= 22  # one more for null
+    stored = read_days(spark, f"{tmp_path}/days", posts.schema)
+    kind = "work_idx int, variation_idx int, variation string, chunk_idx int, chunk_start string, chunk_end string"
+    for first, last in ((0, 1), (3, 30), (395, 500), (0, 400)):
+        a, b = start + dt.timedelta(days=first), start + dt.timedelta(days=last)
+        items = spark.createDataFrame([(0, 0, "banjir", 0, a.date().isoformat(), b.date().isoformat())], kind)
+        asked = in_days_of(stored, items, days=days)
+        assert asked.columns == posts.columns
+        assert sorted(r.post_id for r in asked.collect()) == [i for i, _, ts in rows if ts and a <= ts < b]
+        assert files_read(asked._jdf.queryExecution().executedPlan()) <= (last - first) / days + 2

@@ -11,7 +11,7 @@ from tidepost.catalog.work import ITEMS, _items
 from tidepost.functions import text as X
 from tidepost.plans import jobs, work
 from tidepost.session import scratch_path
-from tidepost.sources.days import in_days_of, read_days, write_by_day
+from tidepost.sources.days import days_per_folder, in_days_of, read_days, write_by_day
 from tidepost.sources.ledger import Ledger
 from tidepost.sources.page_function import register_page_records
 from tidepost.sources.writers import write_json
@@ -85,6 +85,7 @@ def match_posts_by_day(spark, folder):
     """Posts stored by day; only the files of days that work items ask for are read."""
     rows, items = _items(spark, folder)
     path = scratch_path(spark, "posts-by-day")
-    write_by_day(rows, path)
-    asked = in_days_of(read_days(spark, path, rows.schema), items)
+    days = days_per_folder(*span_of(rows))
+    write_by_day(rows, path, days=days)
+    asked = in_days_of(read_days(spark, path, rows.schema), items, days=days)
     return work.match_posts(asked, items, keep=["post_id"]).select(F.col("work_idx").cast("bigint").alias("work_idx"), "post_id")
