@@ -44,3 +44,13 @@ def test_empty_vectors_score_zero(spark):
     assert neighbours.top_k(table, F.lit(False)).count() == 0
     alone = neighbours.top_k(table.where("vec_id = 0"), F.lit(True))
     assert alone.count() == 0
+
+
+def test_copies_for_other_groups_are_not_held_in_python(spark):
+    table = clustered(spark, 50.0)
+    groups = neighbours.Groups(table, F.col("vec_id") % 10 == 0, 5, "vec_id", "embedding", 64, 10, 1024)
+    assert "explode(cells" in groups.from_afar()._jdf.queryExecution().optimizedPlan().toString()
+    batch = groups.placed.select("v", "cell").toPandas().iloc[list(range(1200)) * 2]
+    slices = list(groups.within_reach(batch))
+    assert sum(map(len, slices)) == 2400 and max(map(len, slices)) <= neighbours.ROWS_AT_ONCE
+    assert groups.sent().agg(F.sum("n")).first()[0] == sum(s.sum() for s in slices) / 2

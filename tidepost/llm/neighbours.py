@@ -31,6 +31,8 @@ QUERIES_PER_PIVOT = 32
 MOST_PIVOTS = 1024
 SHELLS = 16
 BLOCK_QUERIES, BLOCK_ROWS = 1024, 8192
+#: Rows that a task holds against all pivots at a time.
+ROWS_AT_ONCE = 1024
 
 
 def whole_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -81,14 +83,16 @@ class Groups:
         shared = table.sparkSession.sparkContext.broadcast((self.pivots, floors, radii))
         width = self.width
 
-        def within_reach(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            """Rows of the batch and the groups, other than their own cell's, that they can score for."""
+        def within_reach(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+            """For slices of the batch, in order: which groups, other than its own cell's, each row can score for."""
             p, low, radius = shared.value
-            x = _matrix(batch["v"].tolist(), width)
-            reach = x @ p.T + np.sqrt((x * x).sum(axis=1))[:, None] * np.maximum(radius, 0)
-            can = (radius >= 0) & (reach + 1e-6 * (1 + np.abs(reach)) >= low)
-            can[np.arange(len(x)), batch["cell"].to_numpy()] = False
-            return np.nonzero(can)
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[at : at + ROWS_AT_ONCE]
+                x = _matrix(part["v"].tolist(), width)
+                reach = x @ p.T + np.sqrt((x * x).sum(axis=1))[:, None] * np.maximum(radius, 0)
+                can = (radius >= 0) & (reach + 1e-6 * (1 + np.abs(reach)) >= low)
+                can[np.arange(len(x)), part["cell"].to_numpy()] = False
+                yield can
 
         self.within_reach = within_reach
 
@@ -98,25 +102,28 @@ class Groups:
         @lean
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p = shared.value
-            for batch in batches:
-                x = _matrix(batch["v"].tolist(), width)
-                squares = (p * p).sum(axis=1) - 2 * x @ p.T
-                cell = squares.argmin(axis=1)
-                distance = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
-                yield batch[["uid", "vec_id", "v", "is_query"]].assign(cell=cell.astype(np.int32), distance=distance)
+            for whole in batches:
+                for at in range(0, len(whole), ROWS_AT_ONCE):
+                    batch = whole.iloc[at : at + ROWS_AT_ONCE]
+                    x = _matrix(batch["v"].tolist(), width)
+                    squares = (p * p).sum(axis=1) - 2 * x @ p.T
+                    cell = squares.argmin(axis=1)
+                    distance = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+                    yield batch[["uid", "vec_id", "v", "is_query"]].assign(cell=cell.astype(np.int32), distance=distance)
 
         schema = f"uid long, vec_id {self.id_type}, v array<long>, is_query boolean, cell int, distance double"
         return vectors.mapInPandas(assign, schema)
 
     def sent(self) -> DataFrame:
         """cell, n: rows that reach each group from other cells."""
-        within_reach = self.within_reach
+        within_reach, pivots = self.within_reach, len(self.pivots)
 
         @lean
         def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                cells, counts = np.unique(within_reach(batch)[1], return_counts=True)
-                yield pd.DataFrame({"cell": cells.astype(np.int32), "n": counts})
+                counts = sum((can.sum(axis=0) for can in within_reach(batch)), start=np.zeros(pivots, np.int64))
+                cells = np.flatnonzero(counts)
+                yield pd.DataFrame({"cell": cells.astype(np.int32), "n": counts[cells]})
 
         return self.placed.select("v", "cell").mapInPandas(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
@@ -125,12 +132,15 @@ class Groups:
         within_reach = self.within_reach
 
         @lean
-        def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows, groups = within_reach(batch)
-                yield batch[["uid", "vec_id", "v"]].iloc[rows].assign(cell=groups.astype(np.int32))
+                cells = [np.flatnonzero(row).astype(np.int32) for can in within_reach(batch) for row in can]
+                yield batch[["uid", "vec_id", "v"]].assign(cells=pd.Series(cells, index=batch.index, dtype=object))
 
-        rows = self.placed.select("uid", "vec_id", "v", "cell").mapInPandas(replicate, f"uid long, vec_id {self.id_type}, v array<long>, cell int")
+        # Python names the groups only; the copies are made where they are shuffled, one at a time.
+        schema = f"uid long, vec_id {self.id_type}, v array<long>, cells array<int>"
+        named = self.placed.select("uid", "vec_id", "v", "cell").mapInPandas(reached, schema)
+        rows = named.select("uid", "vec_id", "v", F.explode("cells").alias("cell"))
         return self._solved(rows, self.sent())
 
     def _solved(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -162,7 +172,7 @@ class Groups:
             scores = _matrix(asked["v"].tolist(), width) @ _matrix(rows["v"].tolist(), width).T
             own, ids, cell = rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), int(asked["cell"].iloc[0])
             out = []
-            for i, (uid, vec_id) in enumerate(zip(asked["uid"], asked["vec_id"])):
+            for i, uid in enumerate(asked["uid"]):
                 line = np.where(own == uid, -np.inf, scores[i])
                 if len(line) > k:
                     least = np.partition(line, len(line) - k)[len(line) - k]
@@ -171,9 +181,10 @@ class Groups:
                     at = np.arange(len(line))
                 at = at[np.argsort(-line[at], kind="stable")][:k]
                 at = at[np.isfinite(line[at])]
-                found = {"cell": cell, "query_uid": uid, "query_id": vec_id, "uid": own[at], "vec_id": ids[at], "score": line[at].astype(np.int64)}
-                out.append(pd.DataFrame(found))
-            return pd.concat(out)[columns]
+                out.append((np.full(len(at), i), at, line[at].astype(np.int64)))
+            query, at, score = (np.concatenate(x) for x in zip(*out))
+            asked_uid, asked_id = asked["uid"].to_numpy()[query], asked["vec_id"].to_numpy()[query]
+            return pd.DataFrame(dict(zip(columns, (cell, asked_uid, asked_id, own[at], ids[at], score))), index=range(len(at)))
 
         schema = f"cell int, query_uid long, query_id {self.id_type}, uid long, vec_id {self.id_type}, score long"
         return asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, schema)
