@@ -124,3 +124,38 @@ def test_tfidf_terms_reads_the_texts_twice_only(spark, monkeypatch):
     topic_queries.tfidf_terms(spark, "/root/testdata/sf0.001")
     # the vocabulary is cut from a stored table, with no aggregate over texts behind it
     assert "documents.parquet" not in "".join(read[0].inputFiles())
+
+
+def test_texts_are_tokenised_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"alpha beta word{i % 7} word{i % 5} extra{i % 3}") for i in range(60)]
+    posts = spark.createDataFrame(rows, "id long, text string").select("id", counted("text").alias("text"))
+    assert topics.lda_topics(posts, "id", 2, 3).count() == 2
+    assert read.value == 60
+
+
+def test_fitting_in_slices_gives_the_same_bits():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 400, 3, 2 * lda.CELLS, 5, 1, *rng.integers(1, 300, 400)])
+    terms = rng.integers(0, 50, sizes.sum())
+    weights, shares = rng.random(len(terms)), lda.expected_logs(rng.random((3, 50)) + 0.1)
+    slices = list(lda._slices(sizes))
+    assert [a for a, _ in slices[1:]] == [b for _, b in slices[:-1]] and slices[0][0] == 0 and slices[-1][1] == len(sizes) and len(slices) > 2
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    whole = lda.fit_documents(sizes, terms, weights, shares, 1 / 3, 100, 1e-3)
+    parts = [lda.fit_documents(sizes[a:b], terms[places[a] : places[b]], weights[places[a] : places[b]], shares, 1 / 3, 100, 1e-3) for a, b in slices]
+    for topic in range(3):
+        assert np.array_equal(whole[topic], np.concatenate([p[topic] for p in parts]))
+    assert list(lda._slices(np.zeros(0, dtype=int))) in ([], [(0, 0)])
+
+
+def test_null_words_and_rows_are_counted(spark):
+    docs = spark.createDataFrame([(1, ["a", "a", None, "b"]), (2, None), (3, []), (4, ["b"])], "ord int, tokens array<string>")
+    found = {r.term: (r.tf, r.df) for r in vectors.term_statistics(docs).collect()}
+    assert found == {"a": (2, 1), "b": (2, 2), None: (0, 4)}

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Expected uses are counted in units of 1 / UNIT.
 UNIT = 2.0**32
 TINY = 1e-100
+#: Terms of documents that are fitted at a time: whole arrays of so many stay in a core's cache.
+CELLS = 1 << 15
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -46,36 +48,52 @@ def first_topics(terms: list[str], topics: int, seed: int) -> np.ndarray:
     return np.array([[draw(k, t) for t in terms] for k in range(topics)]).reshape(topics, len(terms))
 
 
+def _norms(mixture: np.ndarray, own: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """For every term of every document, what its topics give it together."""
+    norm = np.full(len(own[0]), TINY)
+    for topic, values in enumerate(own):
+        norm += np.repeat(mixture[:, topic], sizes) * values
+    return norm
+
+
 def fit_documents(
-    places: np.ndarray, terms: np.ndarray, weights: np.ndarray, shares: np.ndarray, prior: float, steps: int, tolerance: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Topic counts of each document, and the expected uses of each of its terms per topic.
+    sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, shares: np.ndarray, prior: float, steps: int, tolerance: float
+) -> list[np.ndarray]:
+    """The expected uses of each term of each document, one array for each topic.
 
-    ``places`` bounds the documents in ``terms`` and ``weights``; none is empty. A document
+    ``sizes`` cuts ``terms`` and ``weights`` into documents; none is empty. A document
     is done when its counts change by less than ``tolerance`` on average, whatever the others do.
     """
-    own = shares[:, terms].T  # one row of topics for each term of a document
-    owner = np.repeat(np.arange(len(places) - 1), np.diff(places))
-    counts = np.ones((len(places) - 1, len(shares)))
-    live = np.arange(len(counts))
+    own = [row[terms] for row in shares]
+    counts = np.ones((len(sizes), len(shares)))
+    # The documents at hand; those that are done leave when they are a quarter.
+    at, going = np.arange(len(sizes)), np.ones(len(sizes), dtype=bool)
+    near, heavy, held = own, weights, sizes
     for _ in range(steps):
-        chosen = np.zeros(len(counts), dtype=bool)
-        chosen[live] = True
-        at = np.flatnonzero(chosen[owner])
-        sizes = np.diff(places)[live]
-        starts = np.cumsum(sizes) - sizes
-        mixture = expected_logs(counts[live])
-        rows = own[at]
-        norm = (np.repeat(mixture, sizes, axis=0) * rows).sum(axis=1) + TINY
-        new = prior + mixture * np.add.reduceat(rows * (weights[at] / norm)[:, None], starts, axis=0)
-        moved = np.abs(new - counts[live]).sum(axis=1) / len(shares)
-        counts[live] = new
-        live = live[moved >= tolerance]
-        if not len(live):
+        mixture = expected_logs(counts[at])
+        ratio = heavy / _norms(mixture, near, held)
+        starts = np.cumsum(held) - held
+        sums = np.stack([np.add.reduceat(values * ratio, starts) for values in near], axis=1)
+        new = prior + mixture * sums
+        moved = np.abs(new - counts[at]).sum(axis=1) / len(shares)
+        counts[at[going]] = new[going]
+        going &= moved >= tolerance
+        if not going.any():
             break
-    mixture = expected_logs(counts)[owner]
-    norm = (mixture * own).sum(axis=1) + TINY
-    return counts, mixture * own * (weights / norm)[:, None]
+        if going.mean() < 0.75:
+            kept = np.repeat(going, held)
+            near, heavy, held = [values[kept] for values in near], heavy[kept], held[going]
+            at, going = at[going], np.ones(going.sum(), dtype=bool)
+    mixture = expected_logs(counts)
+    ratio = weights / _norms(mixture, own, sizes)
+    return [np.repeat(mixture[:, topic], sizes) * values * ratio for topic, values in enumerate(own)]
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of documents of about ``CELLS`` terms together."""
+    run = (np.cumsum(sizes) - sizes) // CELLS
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    yield from zip(first.tolist(), [*first[1:].tolist(), len(sizes)])
 
 
 def _round(vectors: DataFrame, topics: np.ndarray, prior: float, steps: int, tolerance: float) -> np.ndarray:
@@ -90,17 +108,18 @@ def _round(vectors: DataFrame, topics: np.ndarray, prior: float, steps: int, tol
             bounds = lists.offsets.to_numpy().astype(np.int64)
             terms = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
             weights = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            places = np.unique(bounds - bounds[0])  # empty documents bound nothing
-            if len(places) < 2:
-                continue
-            _, uses = fit_documents(places, terms, weights, shared.value, prior, steps, tolerance)
-            whole = np.rint(uses * UNIT)
-            # sums of whole numbers under 2 ** 53 are exact in any order; halves keep them there
-            high, low = np.divmod(whole, 2.0**20)
-            for topic in range(k):
-                top = np.bincount(terms, weights=high[:, topic], minlength=size).astype(np.int64)
-                rest = np.bincount(terms, weights=low[:, topic], minlength=size).astype(np.int64)
-                sums[topic] += (top << 20) + rest
+            bounds = np.unique(bounds - bounds[0])  # empty documents bound nothing
+            sizes = np.diff(bounds)
+            for first, end in _slices(sizes) if len(sizes) else ():
+                part = slice(bounds[first], bounds[end])
+                fitted = fit_documents(sizes[first:end], terms[part], weights[part], shared.value, prior, steps, tolerance)
+                for topic, uses in enumerate(fitted):
+                    whole = np.rint(uses * UNIT)
+                    # sums of whole numbers under 2 ** 53 are exact in any order; halves keep them there
+                    high = np.floor(whole * 2.0**-20)
+                    top = np.bincount(terms[part], weights=high, minlength=size).astype(np.int64)
+                    rest = np.bincount(terms[part], weights=whole - high * 2.0**20, minlength=size).astype(np.int64)
+                    sums[topic] += (top << 20) + rest
         cells = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums.ravel()[cells])], names=["cell", "uses"])
 

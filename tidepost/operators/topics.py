@@ -70,10 +70,10 @@ def lda_topics(
     Batch variational Bayes over TF-IDF vectors of unit length (see ``operators.lda``). Weights are
     the sums of the words' unnormalised topic values, words equal in value are in reverse
     alphabetical order. The result depends on the rows only, not on their partitions. The
-    vectors are stored once below ``spark.checkpoint.dir``; only the vocabulary and its
-    ``topics x vocabulary`` table reach the driver.
+    words and the vectors are stored once below ``spark.checkpoint.dir``, so a text is tokenised once; only the
+    vocabulary and its ``topics x vocabulary`` table reach the driver.
     """
-    docs = topic_documents(posts, ord, stopwords)
+    docs = through_table(topic_documents(posts, ord, stopwords), "topic-words")
     statistics = through_table(term_statistics(docs), "topic-terms")
     terms, idf, count = kept_terms(statistics, vocabulary, min_docs, max_share)
     if count < topics or not terms:
