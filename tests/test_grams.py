@@ -92,3 +92,43 @@ def test_a_long_list_of_terms_is_looked_up_not_tested_one_by_one(spark):
         p, n = hits(r.text, good), hits(r.text, bad)
         assert r.sentiment == ("positive" if p > n else "negative" if n > p else "neutral")
         assert r.sentiment_score == (0.5 if p == n else round(max(p, n) / (p + n), 3))
+
+
+def test_each_run_of_a_batch_is_hashed_once_however_often_it_stands(monkeypatch):
+    hashed, own = 0, grams.Windows.hashes
+
+    def counted(self, starts, sizes):
+        nonlocal hashed
+        hashed += len(starts)
+        return own(self, starts, sizes)
+
+    index = grams.TermIndex(["alpha", "bet", "pha", "gammas", "lph"])
+    monkeypatch.setattr(grams.Windows, "hashes", counted)
+    assert index.find(["Alpha, alpha beta gamma. 1 " * 200] * 50) == [["alpha", "bet", "lph", "pha"]] * 50
+    assert hashed < 200
+
+
+def test_both_sides_of_a_lexicon_are_found_in_one_look_up(spark):
+    rows = spark.createDataFrame([(1, "term001é, a term999"), (2, None), (3, "TERM001 term002"), (4, "term998")], "id long, text string")
+    lexicon = spark.range(1000).selectExpr("format_string('term%03d', id) term", "id % 2 = 0 positive")
+    lexicon = lexicon.unionByName(spark.createDataFrame([("term002", False), ("TERM998", None)], lexicon.schema))
+    found = sentiment.with_lexicon_table(rows, lexicon)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.id: (r.sentiment, r.sentiment_score) for r in found.collect()}
+    assert got == {1: ("negative", 1.0), 2: ("neutral", 0.5), 3: ("negative", 0.667), 4: ("positive", 1.0)}
+
+
+@pytest.mark.parametrize("hashes", ["own", "all alike"])
+def test_found_terms_are_exact_in_pieces_of_any_size_and_when_hashes_meet(monkeypatch, hashes):
+    texts, terms = material(11)
+    texts = ["" if t is None else t.lower() for t in texts] + ["é" * 70, "😀中" * 9, "\n"]
+    known = sorted({t.lower() for t in terms if t})
+    want = [[k for k in known if k in t] for t in texts]
+    if hashes == "all alike":
+        monkeypatch.setattr(grams, "_mixed", lambda h: h & grams.np.uint64(3))
+    for sizes in ((1 << 23, 1 << 20, 1 << 21), (1 << 10, 7, 20), (64, 7, 1), (1, 1, 1)):
+        for name, size in zip(("TEXT_BYTES", "RUN_CHARS", "PAIRS"), sizes):
+            monkeypatch.setattr(grams, name, size)
+        assert grams.TermIndex(known).find(texts) == want
+    assert grams.TermIndex([]).find(texts) == [[] for _ in texts]
+    assert grams.TermIndex(known).find([]) == []
