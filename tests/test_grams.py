@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from tidepost.operators import grams, sentiment
@@ -127,8 +128,20 @@ def test_found_terms_are_exact_in_pieces_of_any_size_and_when_hashes_meet(monkey
     if hashes == "all alike":
         monkeypatch.setattr(grams, "_mixed", lambda h: h & grams.np.uint64(3))
     for sizes in ((1 << 23, 1 << 20, 1 << 21), (1 << 10, 7, 20), (64, 7, 1), (1, 1, 1)):
-        for name, size in zip(("TEXT_BYTES", "RUN_CHARS", "PAIRS"), sizes):
+        for name, size in zip(("TEXT_BYTES", "RUN_BYTES", "PAIRS"), sizes):
             monkeypatch.setattr(grams, name, size)
         assert grams.TermIndex(known).find(texts) == want
     assert grams.TermIndex([]).find(texts) == [[] for _ in texts]
     assert grams.TermIndex(known).find([]) == []
+
+
+def test_scores_round_as_the_sql_does(spark):
+    counts = [(203, 197), (197, 203), (9, 7), (1023, 977), (2, 1), (3, 3), (0, 0), (0, 5), (1449, 1351)]
+    counts += [(p, n) for p in range(0, 420, 7) for n in range(0, 420, 3)]
+    rows = spark.createDataFrame([(i, p, n) for i, (p, n) in enumerate(counts)], "i int, p int, n int")
+    _, score = sentiment.score_hits(rows["p"], rows["n"])
+    got = [r.s for r in rows.select("i", score.alias("s")).orderBy("i").collect()]
+    share = "CASE WHEN p = n THEN 0.5::DOUBLE ELSE round_even(greatest(p, n)::DOUBLE / (p + n), 3)::DOUBLE END"
+    want = duckdb.sql(f"SELECT {share} FROM (SELECT unnest(?) AS p, unnest(?) AS n)", params=[[p for p, _ in counts], [n for _, n in counts]])
+    assert got == [s for (s,) in want.fetchall()]
+    assert got[:3] == [0.507, 0.507, 0.562]
